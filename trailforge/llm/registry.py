@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailforge.llm import mixing, quality
+from trailforge.llm import bitplanes, mixing, packing, quality, simhash
 from trailforge.llm.common import documents
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(documents(spark, sf_dir))
 
@@ -16,5 +23,17 @@ def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pareto_mixing)}
+def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def op9_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pareto_mixing, op7_bit_planes, op9_ball_hashing, op10_sum_of_squares)}
 ORACLES: dict[str, str] = {"op3_pareto_mixing": mixing.ORACLE}
