@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailforge.llm import bitplanes, mixing, packing, quality, simhash
+from trailforge.llm import bitplanes, lzprint, mixing, packing, quality, simhash, templates
 from trailforge.llm.common import documents
 
 
@@ -23,10 +23,19 @@ def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.compare(documents(spark, sf_dir))
+
+
 def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = templates.drop_lines(documents(spark, sf_dir))
+    return done.select("doc_id", done["__lines"].alias("n_lines"), done["__dropped"].alias("n_dropped"), "text")
+
+
 def op9_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -35,5 +44,5 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pareto_mixing, op7_bit_planes, op9_ball_hashing, op10_sum_of_squares)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pareto_mixing, op5_lempel_ziv, op7_bit_planes, op8_template_tree, op9_ball_hashing, op10_sum_of_squares)}
 ORACLES: dict[str, str] = {"op3_pareto_mixing": mixing.ORACLE}
