@@ -85,7 +85,7 @@ def sketch(tokens: list[str]) -> list[int]:
     for seed in _SEEDS:
         x = (mixed ^ (mixed >> np.uint64(29))) * seed
         x = np.unique(np.partition(x, 3)[:4]) if len(x) > 4 else np.unique(x)
-        out.append(int(x[0] * np.uint64(31) + x[min(1, len(x) - 1)]))
+        out.append((int(x[0]) * 31 + int(x[min(1, len(x) - 1)])) % (1 << 64))
     return out
 
 
