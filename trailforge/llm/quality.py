@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import BLANK, words
+from trailforge.llm.common import words
 
 #: Phrases of legal and site boilerplate, matched in lower case.
 BOILERPLATE = (
@@ -36,6 +36,9 @@ BOILERPLATE = (
 NAVIGATION = ("read more", "sign in", "sign up", "log in", "skip to content", "back to top", "next page", "previous page", "click here")
 #: Signs that part the entries of menus and breadcrumbs.
 SEPARATORS = r"[|»›•·→]"
+SIGNS = r"[#*$%&<>~^=\\\\{}]"
+#: Boilerplate and navigation are looked for in lines of so many characters at most.
+BRIEF = 300
 #: A short line has so many words at most.
 SHORT = 8
 #: A document is kept if its failing lines hold at most this share of its characters.
@@ -43,22 +46,25 @@ MOST_LOST = 0.5
 
 
 def failed_rule(line: Column) -> Column:
-    """The name of the first rule that a line fails, or null."""
+    """The name of the first rule that a line fails, or null.
+
+    Each rule begins with a cheap test that prose does not meet, so that a line
+    of prose costs a few short searches.
+    """
     n = F.size(words(line))
     low = F.lower(line)
-    signs = F.length(line) - F.length(F.translate(line, "#*$%&<>~^=\\{}", ""))
-    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
-    capitals = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
-    shouts = F.length(line) - F.length(F.translate(line, "!", ""))
+    signs = F.regexp_count(line, F.lit(SIGNS))
+    separators = F.regexp_count(line, F.lit(SEPARATORS))
     any_of = lambda phrases: "|".join(phrases)
+    brief = F.length(line) <= BRIEF
     return (
-        F.when(low.rlike(any_of(BOILERPLATE)), "boilerplate")
-        .when((F.regexp_count(line, F.lit(SEPARATORS)) >= 2) & (F.regexp_count(line, F.lit(SEPARATORS)) * 5 >= n), "navigation")
-        .when((n <= SHORT) & low.rlike(any_of(NAVIGATION)), "navigation")
-        .when(signs * 5 > F.length(line), "punctuation")
-        .when((shouts >= 3) & (shouts * 2 >= n), "punctuation")
-        .when((letters >= 40) & (capitals * 10 >= letters * 9), "punctuation")
-        .when((n > SHORT) & ~line.rlike(r"\p{P}"), "punctuation")
+        F.when(brief & low.rlike(any_of(BOILERPLATE)), "boilerplate")
+        .when(line.rlike(SEPARATORS) & (separators >= 2) & (separators * 5 >= n), "navigation")
+        .when(brief & (n <= SHORT) & low.rlike(any_of(NAVIGATION)), "navigation")
+        .when(line.rlike(SIGNS) & (signs * 5 > F.length(line)), "punctuation")
+        .when(line.contains("!") & (F.regexp_count(line, F.lit("!")) >= 3) & (F.regexp_count(line, F.lit("!")) * 2 >= n), "punctuation")
+        .when(~line.rlike(r"\p{Ll}{3}") & line.rlike(r"(?:\P{Lu}*\p{Lu}){40}"), "punctuation")
+        .when(~line.rlike(r"\p{P}") & (n > SHORT), "punctuation")
     )
 
 
@@ -76,7 +82,8 @@ def _with_repeats(df: DataFrame, tokens: str, to: str) -> DataFrame:
     own, so that no lambda computes it anew for every element.
     """
     n = F.size(tokens)
-    df = df.withColumn("__h", F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(F.col(tokens), i + k) for k in range(5)]))))
+    df = df.withColumn("__w", F.transform(tokens, lambda x: F.xxhash64(x)))
+    df = df.withColumn("__h", F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(F.col("__w"), i + k) for k in range(5)]))))
     ranked = F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("__r", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), ranked))
     same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
@@ -84,7 +91,7 @@ def _with_repeats(df: DataFrame, tokens: str, to: str) -> DataFrame:
     df = df.withColumn("__i", F.array_sort(F.transform(F.filter("__r", near), lambda x: x["i"])))
     steps = F.zip_with(F.col("__i"), F.slice("__i", 2, F.greatest(F.size("__i"), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(5)), F.lit(5)))
     covered = F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x), F.lit(0))
-    return df.withColumn(to, covered.cast("long")).drop("__h", "__r", "__i")
+    return df.withColumn(to, covered.cast("long")).drop("__w", "__h", "__r", "__i")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +108,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one = one.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", BLANK + "+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("tokens", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         worded.alias("worded"),
         F.aggregate(good, F.lit(0), lambda t, x: t + F.length(x)).alias("left"),
@@ -140,9 +147,10 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
     lost = F.aggregate(F.col("__lines"), F.lit(0), lambda t, x: t + F.length(x)) - F.aggregate(F.col("__good"), F.lit(0), lambda t, x: t + F.length(x))
     whole = F.aggregate(F.col("__lines"), F.lit(0), lambda t, x: t + F.length(x))
     hidden = _with_repeats(docs.withColumns({"__tokens": tokens, "__lines": lines, "__good": good}), "__tokens", "__repeated")
-    kept = hidden.filter((n >= 10) & (100 * F.col("__repeated") <= 20 * n) & (lost <= MOST_LOST * whole))
-    kept = kept.withColumn(text_col, F.array_join("__good", "\n"))
+    stays = (n >= 10) & (100 * F.col("__repeated") <= 20 * n) & (lost <= MOST_LOST * whole)
+    # The row number keeps the optimizer from pushing the filter below, where it would compute its columns inside the lambdas.
+    hidden = hidden.withColumns({"__stays": stays, text_col: F.array_join("__good", "\n"), "__row": F.monotonically_increasing_id()})
+    kept = hidden.filter(F.col("__stays") & (F.col("__row") >= 0))
     if length_col and length_col in docs.columns:
         kept = kept.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-
