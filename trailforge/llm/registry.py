@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailforge.llm import bitplanes, lzprint, mixing, packing, quality, simhash, templates
+from trailforge.llm import bitplanes, ctw, lzprint, mixing, packing, privacy, quality, simhash, templates
 from trailforge.llm.common import documents
 
 
@@ -19,10 +19,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(documents(spark, sf_dir))
 
 
+def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(documents(spark, sf_dir))
+
+
 def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op5_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.compare(documents(spark, sf_dir))
 
@@ -44,5 +52,5 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pareto_mixing, op5_lempel_ziv, op7_bit_planes, op8_template_tree, op9_ball_hashing, op10_sum_of_squares)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_weak_supervision, op3_pareto_mixing, op4_context_tree, op5_lempel_ziv, op7_bit_planes, op8_template_tree, op9_ball_hashing, op10_sum_of_squares)}
 ORACLES: dict[str, str] = {"op3_pareto_mixing": mixing.ORACLE}
