@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailforge.llm import bitplanes, ctw, lzprint, mixing, packing, privacy, quality, simhash, templates
+from trailforge.llm import bitplanes, ctw, langid, lzprint, mixing, packing, privacy, quality, simhash, templates
 from trailforge.llm.common import documents
 
 
@@ -35,6 +35,10 @@ def op5_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.compare(documents(spark, sf_dir))
 
 
+def op6_conditional_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(documents(spark, sf_dir))
+
+
 def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -52,5 +56,5 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_weak_supervision, op3_pareto_mixing, op4_context_tree, op5_lempel_ziv, op7_bit_planes, op8_template_tree, op9_ball_hashing, op10_sum_of_squares)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_weak_supervision, op3_pareto_mixing, op4_context_tree, op5_lempel_ziv, op6_conditional_random_field, op7_bit_planes, op8_template_tree, op9_ball_hashing, op10_sum_of_squares)}
 ORACLES: dict[str, str] = {"op3_pareto_mixing": mixing.ORACLE}
