@@ -8,8 +8,8 @@ are dropped from all of them.
 
 Copies of a document are not other documents: were they counted, every line of a
 copied text would recur and the text vanish. Documents are sketched by the two
-smallest of their hashed shingles, under four seeds one after another, and a
-template is counted once for each sketch. It recurs if that count is FEW or more
+smallest of their hashed shingles, four times one after another, and a template
+is counted once for each sketch. It recurs if that count is FEW or more
 and SHARE of all documents that have the line.
 
 Counts, leaves and templates are aggregates by hash with partial sums; a
@@ -44,48 +44,82 @@ SHORTEST = 8
 #: Words of a sketch's shingles.
 SHINGLE = 3
 
-_TOKEN = re.compile(r"[^ \t-\r]+")
-_VARIABLE = re.compile(r"[^ \t-\r]*[0-9][^ \t-\r]*")
-_LETTER = re.compile(r"[^\W\d_]")
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_DIGIT = re.compile(r"[0-9]")
+_WEAK = np.uint64(0xFF51AFD7ED558CCD)
+#: Sketches of a document, and of its smallest hashes those that they are taken from.
+SKETCHES, SMALLEST = 4, 64
 WILD = "<*>"
 
 
 def parsed(line: str) -> tuple[int, int, list[str]] | None:
     """A line's leaf, its hash with variable fields masked, and its tokens; None if it can't be a template."""
-    tokens = _TOKEN.findall(_VARIABLE.sub(WILD, line))
-    if not tokens or not any(t != WILD and _LETTER.search(t) for t in tokens):
+    tokens = line.split()
+    if not tokens:
+        return None
+    if _DIGIT.search(line):
+        tokens = [WILD if _DIGIT.search(t) else t for t in tokens]
+    if not tokens[0][0].isalpha() and not any(t != WILD and any(map(str.isalpha, t)) for t in tokens):
         return None
     leaf = xxhash.xxh64_intdigest(f"{len(tokens)} {' '.join(tokens[:LEAD])}".encode("utf-8", "surrogatepass"))
     return leaf, xxhash.xxh64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"), 1), tokens
 
 
-_WORDS: dict[str, int] = {}
+class _Numbers(dict):
+    """Word to hash; the worker remembers some."""
+
+    def __missing__(self, word):
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_NUMBERS = _Numbers()
+_number = _NUMBERS.__getitem__
+
+
+_RANDOM = np.random.default_rng(20)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_OF_BYTE = np.where(_BLANK, 0, _RANDOM.integers(0, 2**64, 256, np.uint64)).astype(np.uint64)
+_AT_PLACE = _RANDOM.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 
 
-def _number(word: str) -> int:
-    """A word's hash; the worker remembers some."""
-    if (h := _WORDS.get(word)) is None:
-        if len(_WORDS) > 300_000:
-            _WORDS.clear()
-        h = _WORDS[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word of a text, from its bytes and their places, without a step for every word."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    blank = _BLANK[b]
+    start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(b) else np.empty(0, np.int64)
+    if not len(start):
+        return np.empty(0, np.uint64)
+    b = b[start[0] :]
+    start = start - start[0]
+    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    return np.add.reduceat(_OF_BYTE[b] * _AT_PLACE[np.minimum(place, 63)], start)
 
 
-def sketch(tokens: list[str]) -> list[int]:
-    """One number a seed: the two smallest shingle hashes of a text in one."""
-    h = np.fromiter(map(_number, tokens), np.uint64, len(tokens))
+def sketch(text: str) -> list[int]:
+    """Some numbers, each made of two of the text's smallest shingle hashes; the hashes' middle bits part them.
+
+    An edit of a few words leaves most of the numbers as they were.
+    """
+    h = word_hashes(text)
     if not len(h):
-        return [0] * len(_SEEDS)
+        return [0] * SKETCHES
     mixed = h[: max(1, len(h) - SHINGLE + 1)].copy()
-    for k in range(1, SHINGLE):
-        if len(h) > SHINGLE:
-            mixed = mixed * np.uint64(0x100000001B3) + h[k : k + len(mixed)]
+    if len(h) > SHINGLE:
+        for k in range(1, SHINGLE):
+            mixed *= np.uint64(0x100000001B3)
+            mixed += h[k : k + len(mixed)]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _WEAK
+    if len(mixed) > 2 * SMALLEST:
+        mixed = np.partition(mixed, SMALLEST)[:SMALLEST]
+    low = sorted(set(mixed.tolist()))
     out = []
-    for seed in _SEEDS:
-        x = (mixed ^ (mixed >> np.uint64(29))) * seed
-        x = np.unique(np.partition(x, 3)[:4]) if len(x) > 4 else np.unique(x)
-        out.append((int(x[0]) * 31 + int(x[min(1, len(x) - 1)])) % (1 << 64))
+    for k in range(SKETCHES):
+        # The top bits order the hashes, so the classes come from bits in the middle.
+        own = [x for x in low if (x >> 20) % SKETCHES == k] or low
+        out.append((own[0] * 31 + own[min(1, len(own) - 1)]) % (1 << 64))
     return out
 
 
@@ -94,30 +128,32 @@ def _signed(values) -> np.ndarray:
 
 
 def _lines(batches):
-    """Per document: its sketches and, each once, leaf and hash of its lines."""
+    """Per document: its id and sketches and, each once, leaf and hash of its lines."""
+    kind = pa.list_(pa.int64())
     for batch in batches:
         sketches, leaves, hashes = [], [], []
-        for text in batch.column(0):
+        for text in batch.column(1):
             text = text.as_py() or ""
             found = {p[1]: p[0] for line in text.split("\n") if (p := parsed(line))}
-            sketches.append(_signed(sketch(_TOKEN.findall(text))))
+            sketches.append(_signed(sketch(text)))
             leaves.append(_signed(list(found.values())))
             hashes.append(_signed(list(found)))
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(sketches, kind), pa.array(leaves, kind), pa.array(hashes, kind)], ["sketches", "leaves", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, kind), pa.array(leaves, kind), pa.array(hashes, kind)], ["i", "sketches", "leaves", "hashes"])
 
 
 def _tokens(wanted):
-    """Rows (leaf, th, j, tok, n) for the lines of wanted leaves; j: place, tok: hash of the token."""
+    """Rows (leaf, th, j, tok, n) for the lines of wanted leaves (None: of all); j: place, tok: hash of the token."""
 
     def rows(batches):
-        wanted_ = set(wanted.value.tolist())
+        wanted_ = None if wanted is None else set(wanted.value.tolist())
         for batch in batches:
             out = [[], [], [], [], []]
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
+                    if line.count(" ") < SHORTEST - 1 and len(line.split()) < SHORTEST:
+                        continue
                     p = parsed(line)
-                    if p and len(p[2]) >= SHORTEST and p[0] in wanted_:
+                    if p and len(p[2]) >= SHORTEST and (wanted_ is None or p[0] in wanted_):
                         for j, token in enumerate(p[2]):
                             for col, x in zip(out, (p[0], p[1], j, _number(token), len(p[2]))):
                                 col.append(x)
@@ -126,14 +162,20 @@ def _tokens(wanted):
     return rows
 
 
-def recurring(docs: DataFrame, text_col: str = "text", few: int = FEW) -> DataFrame:
-    """(th): hashes of the masked lines whose template recurs across documents."""
+def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a document: i (its id), key (a number), sketches, leaves and hashes of its lines."""
+    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return cut(own.mapInArrow(_lines, f"i {kind}, sketches array<long>, leaves array<long>, hashes array<long>").withColumn("key", F.monotonically_increasing_id()))
+
+
+def recurring(docs: DataFrame, per: DataFrame, text_col: str = "text", few: int = FEW) -> DataFrame:
+    """(th): hashes of the masked lines whose template recurs across documents; per: the documents parsed."""
     text = docs.select(F.col(text_col).cast("string").alias("text"))
-    per = cut(text.mapInArrow(_lines, "sketches array<long>, leaves array<long>, hashes array<long>").withColumn("key", F.monotonically_increasing_id()))
-    # Of documents with one sketch the first speaks for all; the next seed catches those that an edit has parted.
-    voices = per.select("key", *[F.get("sketches", F.lit(i)).alias(f"s{i}") for i in range(len(_SEEDS))])
-    for i in range(len(_SEEDS)):
-        rest = [f"s{j}" for j in range(i + 1, len(_SEEDS))]
+    # Of documents with one sketch the first speaks for all; the next sketch catches those that an edit has parted.
+    voices = per.select("key", *[F.get("sketches", F.lit(i)).alias(f"s{i}") for i in range(SKETCHES)])
+    for i in range(SKETCHES):
+        rest = [f"s{j}" for j in range(i + 1, SKETCHES)]
         voices = voices.groupBy(f"s{i}").agg(F.min(F.struct("key", *rest)).alias("one")).select("one.*")
     flat = per.select("key", F.explode(F.arrays_zip("leaves", "hashes")).alias("x")).select("key", F.col("x.leaves").alias("leaf"), F.col("x.hashes").alias("th"))
     flat = flat.join(voices.select("key", F.lit(1).alias("voice")), "key", "left")
@@ -160,7 +202,7 @@ def generalised(text: DataFrame, leaves: DataFrame, lines: DataFrame, few: int)
         wanted = sc.broadcast(_unsigned(leaves))
         rows = text.mapInArrow(_tokens(wanted), "leaf long, th long, j int, tok long, n int")
     else:
-        rows = text.mapInArrow(_tokens(_All()), "leaf long, th long, j int, tok long, n int").join(leaves, "leaf", "left_semi")
+        rows = text.mapInArrow(_tokens(None), "leaf long, th long, j int, tok long, n int").join(leaves, "leaf", "left_semi")
     rows = cut(rows.distinct())
     counts = rows.groupBy("leaf", "j", "tok").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= few)
     constant = rows.join(counts, ["leaf", "j", "tok"]).withColumn("h", F.shiftright(F.xxhash64("j", "tok"), 20))
@@ -170,22 +212,6 @@ def generalised(text: DataFrame, leaves: DataFrame, lines: DataFrame, few: int)
     return shapes.join(often, ["leaf", "shape"], "left_semi").select("th")
 
 
-class _All:
-    """Stands for a set of leaves that has every leaf."""
-
-    class _Every:
-        def __contains__(self, _):
-            return True
-
-        def tolist(self):
-            return self
-
-    value = _Every()
-
-    def __iter__(self):
-        return iter(())
-
-
 def _unsigned(leaves: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in leaves.collect()], np.int64).view(np.uint64)
 
@@ -195,18 +221,19 @@ def _dropped(names: list[str], text_at: int, length_at: int | None):
 
     def drop(batches):
         for batch in batches:
-            texts, totals, gone = [], [], []
-            for text, lost in zip(batch.column(text_at), batch.column(batch.num_columns - 1)):
-                text, lost = text.as_py(), lost.as_py()
-                lines = (text or "").split("\n")
-                if lost:
-                    out = set(_signed_back(lost))
-                    kept = [x for x in lines if not ((p := parsed(x)) and p[1] in out)]
-                else:
-                    kept = lines
-                totals.append(len(lines) if text else 0)
+            texts, totals, gone = batch.column(text_at).to_pylist(), [], []
+            for k, (text, lost) in enumerate(zip(texts, batch.column(batch.num_columns - 1))):
+                lost = lost.as_py()
+                if not lost:
+                    totals.append(text.count("\n") + 1 if text else 0)
+                    gone.append(0)
+                    continue
+                out = set(_signed_back(lost))
+                lines = text.split("\n")
+                kept = [x for x in lines if not ((p := parsed(x)) and p[1] in out)]
+                totals.append(len(lines))
                 gone.append(len(lines) - len(kept))
-                texts.append("\n".join(kept) if len(kept) < len(lines) else text)
+                texts[k] = "\n".join(kept)
             cols = list(batch.columns[:-1])
             cols[text_at] = pa.array(texts, pa.string())
             if length_at is not None:
@@ -222,11 +249,10 @@ def _signed_back(values) -> list[int]:
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", few: int = FEW) -> DataFrame:
     """The documents without recurring lines, columns as they came, and __lines and __dropped."""
-    often = recurring(docs, text_col, few).withColumn("often", F.lit(True))
-    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    flat = own.mapInArrow(_hashed, f"i {kind}, th long").join(often, "th", "left_semi")
-    lost = flat.groupBy(F.col("i").alias("__i")).agg(F.collect_set("th").alias("__lost"))
+    per = parse(docs, id_col, text_col)
+    often = recurring(docs, per, text_col, few)
+    flat = per.select(F.col("i").alias("__i"), F.explode("hashes").alias("th")).join(often, "th", "left_semi")
+    lost = flat.groupBy("__i").agg(F.collect_set("th").alias("__lost"))
     joined = docs.withColumn(text_col, F.col(text_col).cast("string")).join(lost, F.col(id_col).eqNullSafe(F.col("__i")), "left").drop("__i")
     from pyspark.sql import types as T
 
@@ -236,12 +262,3 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length_at = names.index(length_col) if length_col in names else None
     return joined.select(*[F.col(f"`{c}`") for c in names], "__lost").mapInArrow(_dropped(names, names.index(text_col), length_at), schema)
 
-
-def _hashed(batches):
-    for batch in batches:
-        ids, hashes = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = {p[1] for line in (text.as_py() or "").split("\n") if (p := parsed(line))}
-            ids += [i] * len(found)
-            hashes += found
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(_signed(hashes))], ["i", "th"])
