@@ -51,7 +51,7 @@ def to_planes(ids: np.ndarray, bits: bool) -> np.ndarray:
 def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
     if bits:
         rows = np.stack([np.unpackbits(np.frombuffer(p, np.uint8), count=n) for p in planes])
-        return np.packbits(rows.T, axis=1, bitorder="little").view("<u4").ravel()
+        return np.ascontiguousarray(np.packbits(rows.T, axis=1, bitorder="little")).view("<u4").ravel()
     return np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in planes]).T).view("<u4").ravel()
 
 
@@ -143,14 +143,14 @@ def _writer(folder: str, path: str, end: int, bits: bool, kind: pa.DataType):
         store, place = _store(folder)
         name = f"part-{task.partitionId():06d}"
         draft = f"{place}/.{name}-{task.taskAttemptId()}"
-        coder, file, ids_of, sizes = None, None, [], []
+        file, ids_of, sizes = None, [], []
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if file is None:
-                    coder = encoder(path, True)
-                    file = store.open_output_stream(draft)
-                    out = Writer(file, bits)
-                ids = np.append(coder.encode(text.as_py()), np.uint32(end))
+            if file is None and batch.num_rows:
+                coder = encoder(path, True)
+                file = store.open_output_stream(draft)
+                out = Writer(file, bits)
+            for i, ids in zip(batch.column(0).to_pylist(), coder.encode_all(t.as_py() for t in batch.column(1)) if batch.num_rows else ()):
+                ids = np.append(ids, np.uint32(end))
                 out.add(ids.astype(np.uint32))
                 ids_of.append(i)
                 sizes.append(len(ids))

@@ -66,8 +66,8 @@ def _pieces(path: str, end: int, capacity: int, blank_leads: bool, kind: pa.Data
         coder = encoder(path, blank_leads)
         for batch in batches:
             ids_of, piece, start, length, crc = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(coder.encode(text.as_py()), np.uint32(end)).astype("<u4")
+            for i, ids in zip(batch.column(0).to_pylist(), coder.encode_all(t.as_py() for t in batch.column(1))):
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for k in range(0, len(ids), capacity):
                     some = ids[k : k + capacity]
                     ids_of.append(i)

@@ -1,10 +1,11 @@
 """Whole texts to token ids by a file of the tokenizers library.
 
 The library encodes each distinct piece of text once per worker; repeated pieces
-come from a memo. A piece ends before a blank that follows something other than
-white space. The files' rules never join text across such a place, so the ids of
-a text are those of its pieces, one after another; texts whose blanks stand
-otherwise are encoded whole. Tests hold this against the plain call.
+come from a memo. Pieces end before a blank, around a line feed, and before a
+full stop or comma that ends a word. The files' rules never join text across
+such places, so the ids of a text are those of its pieces, one after another.
+Where a place is not of that kind (several blanks, signs before the stop) the
+text is encoded whole. Tests hold all this against the plain call.
 """
 
 from __future__ import annotations
@@ -14,19 +15,26 @@ import os
 import numpy as np
 
 #: Pieces that the memo holds before it starts anew.
-MEMO = 300_000
+MEMO = 1_500_000
+#: Characters of the texts that are taken at a time.
+SLAB = 2_000_000
+#: Marks before pieces: a stop or comma, a line feed, and what follows one. Texts that have them are encoded whole.
+STOP, FEED, AFTER = "\x02", "\x03", "\x04"
+MARKS = ("\x01", STOP, FEED, AFTER)
+#: What is known of a piece. TIED is the lowest, so that it is over WORD only where that is missing.
+TIED, WORD, OPEN = 1, 2, 4
 
 
 class _Memo(dict):
     """Piece to number; an unknown piece gets the next number and is noted."""
 
-    def __init__(self, fresh: list, taken):
+    def __init__(self):
         super().__init__()
-        self.fresh, self.taken = fresh, taken
+        self.fresh: list[str] = []
 
     def __missing__(self, piece):
-        self[piece] = n = self.taken()
-        self.fresh.append((self, piece))
+        self[piece] = n = len(self)
+        self.fresh.append(piece)
         return n
 
 
@@ -39,59 +47,118 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.blank_leads, self.limit = blank_leads, memo
+        # What parts pieces that are encoded in one call: one token, which no such piece has.
+        self.between = "\n" if blank_leads else " \x01 "
+        mark = self._plain(self.between)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
         self._forget()
 
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _forget(self):
-        self.n = 0
-        self.fresh: list = []
-        self.first, self.later = _Memo(self.fresh, self._take), _Memo(self.fresh, self._take)
+        self.memo = _Memo()
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-        self.torn = np.zeros(1 << 14, bool)  # a blank after this piece isn't the end of a piece
+        # Bits: no blank may follow the piece (OPEN); it ends as a word does (WORD); it must follow a word (TIED).
+        self.bits = np.zeros(1 << 14, np.uint8)
 
-    def _take(self):
-        self.n += 1
-        return self.n - 1
+    def _spelled(self, piece: str) -> str:
+        if piece[:1] == STOP or piece[:1] == AFTER:
+            return piece[1:]
+        if piece == FEED:
+            return "\n"
+        return " " + piece if self.blank_leads else piece
 
     def _learn(self):
         """Encode the pieces noted since the last call."""
-        if not self.fresh:
+        fresh, self.memo.fresh = self.memo.fresh, []
+        if not fresh:
             return
-        while len(self.start) < self.n:
-            self.start, self.length, self.torn = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.torn))
-        base = self.n - len(self.fresh)
-        for k in range(0, len(self.fresh), 8192):
-            some = self.fresh[k : k + 8192]
-            spelled = [" " + p if memo is self.later and self.blank_leads else p for memo, p in some]
-            for i, found in enumerate(self.tokenizer.encode_batch(spelled, add_special_tokens=False)):
-                ids = found.ids
-                at = base + k + i
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[at], self.length[at] = self.used, len(ids)
-                memo, piece = some[i]
-                self.torn[at] = self.blank_leads and (piece[-1:].isspace() or (not piece and memo is self.later))
-                self.used += len(ids)
-        self.fresh.clear()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text (uint32); null is the empty text."""
+        n = len(self.memo)
+        while len(self.start) < n:
+            self.start, self.length, self.bits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.bits))
+        base = n - len(fresh)
+        spelled = [self._spelled(p) for p in fresh]
+        # Pieces with white space inside, or none of their own, are encoded each for itself.
+        alone = [k for k, s in enumerate(spelled) if self.mark is None or not s.strip() or "\x01" in s or len(s.split()) > 1 or s[-1].isspace() or (s[0].isspace() and (s[0] != " " or s[1].isspace()))]
+        lone = set(alone)
+        joined = [k for k in range(len(spelled)) if k not in lone] if lone else range(len(spelled))
+        for i in range(0, len(joined), 20_000):
+            some = joined[i : i + 20_000]
+            ids = self._plain(self.between.join([spelled[k] for k in some]))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) != len(some):
+                alone.extend(some)
+                continue
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            at = base + np.fromiter(some, np.int64, len(some))
+            self.start[at], self.length[at] = self.used + starts, ends - starts
+            self._store(ids)
+        for k in alone:
+            ids = self._plain(spelled[k])
+            self.start[base + k], self.length[base + k] = self.used, len(ids)
+            self._store(ids)
+        bits = []
+        for p, s in zip(fresh, spelled):
+            x = WORD if p[-1:].isalnum() else 0
+            if p[:1] == STOP:
+                x |= TIED
+            if not x & WORD and self.blank_leads and p != FEED and (not p or p == AFTER or s[-1:].isspace()):
+                x |= OPEN
+            if p[:1] == AFTER and self.blank_leads and s[:1].isspace():
+                x |= TIED  # after a line feed, so it never follows a word: the text is encoded whole
+            bits.append(x)
+        self.bits[base:n] = bits
+
+    def _store(self, ids: np.ndarray):
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _numbers(self, text: str) -> np.ndarray | None:
+        if not text or any(m in text for m in MARKS):
+            return None
+        for sign in ".,":
+            text = text.replace(f"{sign} ", f" {STOP}{sign} ").replace(f"{sign}\n", f" {STOP}{sign}\n")
+        pieces = (AFTER + text.replace("\n", f" {FEED} {AFTER}")).split(" ")
+        return np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+
+    def _ids(self, text: str | None, at: np.ndarray | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if self.n > self.limit:
-            self._forget()
-        pieces = text.split(" ")
-        at = np.fromiter(map(self.later.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
-        at = np.concatenate([[self.first[pieces[0]]], at])
-        self._learn()
-        if self.torn[at[:-1]].any():
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # The text begins with an empty piece if it begins with a blank or stop; nothing stands before it then.
+        bits = None if at is None else self.bits[at]
+        if bits is None or (bits[1:-1] & OPEN).any() or ((bits[1:] & TIED) > (bits[:-1] & WORD)).any() or bits[0] & TIED:
+            return self._plain(text)
         sizes = self.length[at]
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
+    def encode_all(self, texts):
+        """The ids (uint32) of one text after another; null is the empty text."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text or "")
+            if size >= SLAB:
+                yield from self._slab(some)
+                some, size = [], 0
+        yield from self._slab(some)
+
+    def _slab(self, texts):
+        if len(self.memo) > self.limit:
+            self._forget()
+        numbers = [self._numbers(t) if t else None for t in texts]
+        self._learn()
+        for text, at in zip(texts, numbers):
+            yield self._ids(text, at)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return next(iter(self.encode_all([text])))
+
 
 _ENCODERS: dict = {}
 
