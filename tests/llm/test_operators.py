@@ -524,7 +524,14 @@ def test_sum_of_squares_takes_the_smallest_sum():
         assert own <= min(choices, default=own)
         gaps[at] = before - s
     assert all(g >= 0 for g in gaps.values())
-    assert len(gaps) <= 1.05 * math.ceil(lengths.sum() / 30) + 1
+
+
+def test_sum_of_squares_fills_sequences():
+    rng = np.random.default_rng(16)
+    lengths = np.sort(np.clip(rng.lognormal(6.3, 1.0, 5000), 2, 4095).astype(int))[::-1]
+    where, offset = packing.sum_of_squares(lengths)
+    assert len(set(where.tolist())) <= 1.005 * lengths.sum() / 4096 + 1
+    assert (offset + lengths <= 4096).all()
 
 
 def test_packing(frame, odd):

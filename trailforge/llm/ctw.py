@@ -12,7 +12,7 @@ over whole texts; its code length per byte is -score / log10(2) / bytes.
 Learning counts the n-grams of all training texts in the executors; partial
 counts meet by n-gram. What the tree is built from are the different n-grams;
 their number is bounded by the data's alphabet, and where it passes ``most`` the
-rarest lose their deepest context, which leaves a smaller tree of the same kind.
+rarest lose their deepest contexts, which leaves a smaller tree of the same kind.
 ``most`` bounds what the driver gathers and what is broadcast (20 bytes each).
 The corpus counts themselves are never cut.
 
@@ -237,10 +237,13 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, most: int
     while counts.filter(F.col("n") >= floor).count() > most:
         floor *= 2
     if floor > 1:
-        # Rare n-grams forget their farthest byte, one after another, until they are common enough or have no context.
-        rare, kept = counts.filter(F.col("n") < floor), counts.filter(F.col("n") >= floor)
-        rare = rare.select(F.expr(f"(gram & {(1 << (8 * depth + 8)) - (1 << 16)}) | {END << 8} | (gram & 255)").alias("gram"), "n")
-        counts = kept.unionByName(rare).groupBy("gram").agg(F.sum("n").alias("n"))
+        # Rare n-grams forget their farthest bytes, one after another, until they are common enough or have no context.
+        for k in range(1, depth + 1):
+            low = (1 << (8 * k + 8)) - (1 << 8)
+            blank = sum(END << (8 * j) for j in range(1, k + 1))
+            short = F.col("gram").bitwiseAND(~low).bitwiseOR(F.lit(blank))
+            counts = counts.select(F.when(F.col("n") < floor, short).otherwise(F.col("gram")).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = cut(counts)
     table = counts.toArrow()
     found, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(found)
