@@ -23,7 +23,6 @@ results each.
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -42,41 +41,79 @@ EPOCHS, RATE = 4, 0.3
 STEPS = 400_000
 UNKNOWN = "und"
 _TOKEN = re.compile(r"[^ \t-\r]+")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+class _Buckets(dict):
+    """Feature to bucket; remembers them, which are mostly few short strings."""
+
+    def __missing__(self, feature):
+        if len(self) > 200_000:
+            self.clear()
+        self[feature] = h = _bucket(feature)
+        return h
+
+
+def _bucket(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+_BUCKETS = _Buckets()
+
+
 def features(word: str) -> list[int]:
-    """The buckets of a word's features."""
-    w = "".join(_LETTER.findall(word)).lower()
-    if not w:
-        return []
+    """The buckets of a word's features; none for a word without a letter."""
+    w = word.lower()
+    if not w.isalpha():
+        w = "".join(c for c in w if c.isalpha())
+        if not w:
+            return []
     b = f"^{w[:40]}$"
-    found = {f"p{w[:k]}" for k in (1, 2, 3)} | {f"s{w[-k:]}" for k in (1, 2, 3)} | {f"n{b[i : i + k]}" for k in (2, 3) for i in range(len(b) - k + 1)} | {f"w{w}"}
-    return [xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in sorted(found)]
+    n = len(b)
+    found = [b[i : i + 2] for i in range(n - 1)]
+    found += [b[i : i + 3] for i in range(n - 2)]
+    # Affixes carry the signs of both, so that none is like an n-gram.
+    found += ["<" + w[:1], "<" + w[:2], "<" + w[:3], ">" + w[-1:], ">" + w[-2:], ">" + w[-3:]]
+    out = list(map(_BUCKETS.__getitem__, found))
+    out.append(_bucket("=" + w))
+    return out
 
 
-class Words:
+class Words(dict):
     """Words by number, with the emission scores of each."""
 
     def __init__(self, weights: np.ndarray):
+        super().__init__()
         self.weights = weights
-        self.at: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.letter: list[bool] = []
-
-    def number(self, word: str) -> int:
-        n = self.at.get(word)
-        if n is None:
-            f = features(word)
-            self.at[word] = n = len(self.rows)
-            self.rows.append(self.weights[f].sum(axis=0) / math.sqrt(len(f)) if f else np.zeros(self.weights.shape[1]))
-            self.letter.append(bool(f))
+        self.fresh: list[str] = []
+        self.scores, self.letter = np.zeros((0, weights.shape[1])), np.zeros(0, bool)
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of all words, and which have a letter."""
+        parts = [self.scores]
+        for k in range(0, len(self.fresh), 50_000):
+            found = [features(w) for w in self.fresh[k : k + 50_000]]
+            sizes = np.array([len(f) for f in found])
+            flat = np.array([x for f in found for x in f], np.int64)
+            own = np.zeros((len(found), self.weights.shape[1]))
+            some = np.flatnonzero(sizes)
+            if len(some):
+                own[some] = np.add.reduceat(self.weights[flat], (np.cumsum(sizes) - sizes)[some], axis=0) / np.sqrt(sizes[some])[:, None]
+            parts.append(own)
+            self.letter = np.concatenate([self.letter, sizes > 0])
+        self.fresh = []
+        if len(parts) > 1:
+            self.scores = np.concatenate(parts)
+        return self.scores, self.letter
+
 
 def _normal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = x.sum(axis=1, keepdims=True)
@@ -233,15 +270,15 @@ def _predicted(shared, name: str, kind: pa.DataType):
             pred, score, switches = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
             if model is not None:
                 weights, start, move = model
-                if _MODELS.get("name") != name or len(_MODELS["words"].rows) > 300_000:
+                if _MODELS.get("name") != name or len(_MODELS["words"]) > 600_000:
                     _MODELS.update(name=name, words=Words(weights))
                 words = _MODELS["words"]
                 # Numbers of the words that have a letter; others carry nothing.
                 coded = []
                 for text in batch.column(1):
-                    row = np.fromiter(map(words.number, _TOKEN.findall(text.as_py() or "")), np.int64)
-                    coded.append(row)
-                letter, table = np.array(words.letter, bool), np.array(words.rows).reshape(-1, len(langs))
+                    found = _TOKEN.findall(text.as_py() or "")
+                    coded.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                table, letter = words.table()
                 coded = [row[letter[row]] for row in coded]
                 order = sorted((k for k in range(n) if len(coded[k])), key=lambda k: len(coded[k]))
                 while order:

@@ -68,7 +68,7 @@ class _Numbers(dict):
     """Word to hash; the worker remembers some."""
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

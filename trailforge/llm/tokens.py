@@ -15,7 +15,7 @@ import os
 import numpy as np
 
 #: Pieces that the memo holds before it starts anew.
-MEMO = 1_500_000
+MEMO = 800_000
 #: Characters of the texts that are taken at a time.
 SLAB = 2_000_000
 #: Marks before pieces: a stop or comma, a line feed, and what follows one. Texts that have them are encoded whole.
