@@ -17,10 +17,12 @@ def _finite(c: str):
 def align_labels(edges: DataFrame, labels: DataFrame, value: str = "trips", check: bool = True) -> DataFrame:
     """Edges with their label by edge_id, null where there is none; labels must be unique, finite and 0 or more."""
     if check:
-        bad = labels.filter(F.col(value).isNotNull() & (_finite(value).isNull() | (F.col(value) < 0)))
-        if not bad.isEmpty():
+        # One pass over the labels: the keys are counted and the values tested together.
+        keys = labels.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col(value).isNotNull() & (_finite(value).isNull() | (F.col(value) < 0))).alias("bad"))
+        found = keys.agg(F.bool_or("bad").alias("bad"), F.max("n").alias("n")).first()
+        if found.bad:
             raise ValueError(f"{value} must be finite and 0 or more")
-        if not labels.groupBy("edge_id").count().filter("count > 1").isEmpty():
+        if (found.n or 0) > 1:
             raise ValueError("labels repeat an edge_id")
     return edges.join(labels.select("edge_id", value), "edge_id", "left")
 
@@ -36,7 +38,7 @@ def fit_scale(rows: DataFrame, value: str = "trips", length: str = "length_m") -
 
 
 def apply_scale(rows: DataFrame, scale: DataFrame, value: str = "trips", to: str = "popularity") -> DataFrame:
-    """rows with their mid-rank on a scale fitted on these or other rows; null for values that are missing or not finite.
+    """rows with their mid-rank on a scale fitted on these or other rows; null for values that are missing or not finite, and for all on an empty scale.
 
     The distinct values are looked up by a window over them and the scale's,
     and joined back; rows are neither ordered nor compared with the scale.
@@ -46,13 +48,12 @@ def apply_scale(rows: DataFrame, scale: DataFrame, value: str = "trips", to: str
     both = both.unionByName(scale.select("value", "mass", "before", F.lit(0).alias("ask")))
     order = Window.orderBy("value", "ask").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("ask") == 0, F.struct("value", "mass", "before")), ignorenulls=True).over(order)
-    found = both.withColumn("at", last).filter("ask = 1")
+    fitted = F.min("ask").over(Window.partitionBy()) == 0
+    found = both.withColumns({"at": last, "fitted": fitted}).filter("ask = 1")
     same = F.col("at.value") == F.col("value")
-    rank = F.when(F.col("at").isNull(), 0.0).when(same, 50 * (2 * F.col("at.before") + F.col("at.mass"))).otherwise(100 * (F.col("at.before") + F.col("at.mass")))
+    rank = F.when(~F.col("fitted"), F.lit(None)).when(F.col("at").isNull(), 0.0).when(same, 50 * (2 * F.col("at.before") + F.col("at.mass"))).otherwise(100 * (F.col("at.before") + F.col("at.mass")))
     found = found.select(F.col("value").alias("__v"), rank.alias(to))
-    empty = scale.isEmpty()
-    out = rows.join(found, _finite(value) == F.col("__v"), "left").drop("__v")
-    return out.withColumn(to, F.lit(None).cast("double")) if empty else out
+    return rows.join(found, _finite(value) == F.col("__v"), "left").drop("__v")
 
 
 def popularity(rows: DataFrame, value: str = "trips", length: str = "length_m", to: str = "popularity") -> DataFrame:

@@ -48,6 +48,9 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) A
 WHERE seq <= 50""",
 }
 
+#: The views that are kept once computed.
+KEPT = ("net_edges", "net_trips", "net_tracks")
+
 #: The views as common table expressions, to put before an oracle's own.
 CTES = ",\n".join(f"{k} AS ({v})" for k, v in VIEWS.items())
 
@@ -62,12 +65,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Net:
-    """The network's relations over one folder of test tables."""
+    """The network's relations over one folder of test tables.
+
+    Edges, trips and tracks are read by several steps of a query, so they are
+    kept, in memory or else on the executors' disks; a lost block is computed
+    again. Equal plans share what is kept.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         for name in ("part", "supplier", "lineitem", "events"):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
         for name, sql in VIEWS.items():
             df = spark.sql(sql)
+            if name in KEPT:
+                df = df.persist()
             df.createOrReplaceTempView(name)
             setattr(self, name.removeprefix("net_"), df)
