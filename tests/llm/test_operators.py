@@ -405,6 +405,26 @@ def test_recurring_templates_go(frame):
     assert got[0].n_chars == len(got[0].text)
 
 
+def test_groups_of_copies_keep_no_recurring_line(frame):
+    rng = np.random.default_rng(12)
+    prose = lambda n=30: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)) + "."
+    footer = "This page is brought to you by the society of friends of old maps."
+    copied = f"{prose()}\n{prose()}"
+    rows = [(i, f"{prose()}\n{footer}") for i in range(10)] + [(100 + i, f"{copied}\n{footer}") for i in range(200)]
+    # Documents that consist mostly of a passage that they share.
+    passage = f"{prose(25)}\n{prose(25)}"
+    rows += [(400 + i, f"{passage}\n{prose(8)}") for i in range(12)]
+    got = {r.doc_id: r for r in templates.drop_lines(frame(rows)).collect()}
+    assert all(got[i]["__dropped"] == 1 and footer not in got[i].text for i in got if i < 400)
+    assert all(got[100 + i].text == copied for i in range(200))
+    assert all(got[400 + i]["__dropped"] == 2 and len(got[400 + i].text.split()) == 8 for i in range(12))
+
+
+def test_one_document_is_one_voice(frame):
+    text = "\n".join(f"Here the long path turns left at the house of {x}" for x in ("anna", "berta", "carla", "dora", "emma", "frida"))
+    assert templates.drop_lines(frame([(1, text), (2, "Another text about other things.")])).filter("__dropped > 0").isEmpty()
+
+
 def test_templates_on_odd_rows(odd):
     done = templates.drop_lines(clashing(odd).drop("__lost"))
     assert done.count() == 10 and done.filter("doc_id = 1").first().text is None

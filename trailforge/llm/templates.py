@@ -7,10 +7,14 @@ long as the line keeps LIKE of its tokens. Templates that recur across documents
 are dropped from all of them.
 
 Copies of a document are not other documents: were they counted, every line of a
-copied text would recur and the text vanish. Documents are sketched by the two
-smallest of their hashed shingles, four times one after another, and a template
-is counted once for each sketch. It recurs if that count is FEW or more
-and SHARE of all documents that have the line.
+copied text would recur and the text vanish. So a template is counted once for
+each group of near copies that has it, and recurs if FEW groups or more do.
+Equal texts are one. Others are grouped by sketches, each of the two smallest of
+some of a document's hashed shingles. Shingles that FEW different texts have say
+nothing of whose copy a text is, so a document with a part of its own is sketched
+by its other shingles; only one that has none, but for scattered edits, is
+sketched by all. A part of its own is a run of RUN such shingles, in all OWN of
+the document, or scattered ones that are SCATTERED of it.
 
 Counts, leaves and templates are aggregates by hash with partial sums; a
 template's identity is a sum of hashes of its constant tokens, so no leaf is ever
@@ -34,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailforge.llm.common import cut
+from trailforge.llm.components import components
 
 LEAD = 3
 FEW = 5
 LIKE = 0.8
-SHARE = 0.2
 #: Lines of fewer tokens have no variable fields but those with digits.
 SHORTEST = 8
 #: Words of a sketch's shingles.
@@ -48,6 +52,8 @@ _DIGIT = re.compile(r"[0-9]")
 _WEAK = np.uint64(0xFF51AFD7ED558CCD)
 #: Sketches of a document, and of its smallest hashes those that they are taken from.
 SKETCHES, SMALLEST = 4, 64
+#: Shingles in a row that no edit of one or two words makes (it makes three to five), the share of them, and that of any.
+RUN, OWN, SCATTERED = 6, 0.1, 0.25
 WILD = "<*>"
 
 
@@ -97,14 +103,11 @@ def word_hashes(text: str) -> np.ndarray:
     return np.add.reduceat(_OF_BYTE[b] * _AT_PLACE[np.minimum(place, 63)], start)
 
 
-def sketch(text: str) -> list[int]:
-    """Some numbers, each made of two of the text's smallest shingle hashes; the hashes' middle bits part them.
-
-    An edit of a few words leaves most of the numbers as they were.
-    """
+def smallest(text: str) -> np.ndarray:
+    """The smallest of a text's shingle hashes, each once, in the order of the text."""
     h = word_hashes(text)
     if not len(h):
-        return [0] * SKETCHES
+        return h
     mixed = h[: max(1, len(h) - SHINGLE + 1)].copy()
     if len(h) > SHINGLE:
         for k in range(1, SHINGLE):
@@ -113,8 +116,32 @@ def sketch(text: str) -> list[int]:
     mixed ^= mixed >> np.uint64(29)
     mixed *= _WEAK
     if len(mixed) > 2 * SMALLEST:
-        mixed = np.partition(mixed, SMALLEST)[:SMALLEST]
-    low = sorted(set(mixed.tolist()))
+        mixed = mixed[np.sort(np.argpartition(mixed, SMALLEST)[:SMALLEST])]
+    return mixed[np.sort(np.unique(mixed, return_index=True)[1])]
+
+
+def own_part(low: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of a text's smallest hashes those that are not common; all of them if those are scattered edits only."""
+    own = ~np.isin(low, common)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+    runs = edge[1::2] - edge[::2]
+    if runs[runs >= RUN].sum() >= max(OWN * len(low), 1) or own.sum() >= max(SCATTERED * len(low), 1):
+        return low[own]
+    return low
+
+
+def sketch(text: str) -> list[int]:
+    """Some numbers, each made of two of the text's smallest shingle hashes; the hashes' middle bits part them.
+
+    An edit of a few words leaves most of the numbers as they were.
+    """
+    return _sketch(smallest(text))
+
+
+def _sketch(hashes: np.ndarray) -> list[int]:
+    if not len(hashes):
+        return [0] * SKETCHES
+    low = np.sort(hashes).tolist()
     out = []
     for k in range(SKETCHES):
         # The top bits order the hashes, so the classes come from bits in the middle.
@@ -128,17 +155,31 @@ def _signed(values) -> np.ndarray:
 
 
 def _lines(batches):
-    """Per document: its id and sketches and, each once, leaf and hash of its lines."""
+    """Per document: its id, a hash of its text, its smallest shingle hashes and, each once, leaf and hash of its lines."""
     kind = pa.list_(pa.int64())
     for batch in batches:
-        sketches, leaves, hashes = [], [], []
+        whole, low, leaves, hashes = [], [], [], []
         for text in batch.column(1):
             text = text.as_py() or ""
             found = {p[1]: p[0] for line in text.split("\n") if (p := parsed(line))}
-            sketches.append(_signed(sketch(text)))
+            whole.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+            low.append(smallest(text).view(np.int64))
             leaves.append(_signed(list(found.values())))
             hashes.append(_signed(list(found)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, kind), pa.array(leaves, kind), pa.array(hashes, kind)], ["i", "sketches", "leaves", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(whole)), pa.array(low, kind), pa.array(leaves, kind), pa.array(hashes, kind)], ["i", "whole", "low", "leaves", "hashes"])
+
+
+def _sketches(batches):
+    """Rows (key, s) from rows (key, smallest hashes, common ones of them)."""
+    for batch in batches:
+        keys, out = [], []
+        for key, low, common in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            # values of a list scalar are null where the list is
+            common = common.values.to_numpy() if common.is_valid else np.empty(0, np.int64)
+            found = set(_sketch(own_part(low.values.to_numpy().view(np.uint64), common.view(np.uint64))))
+            keys.extend([key] * len(found))
+            out.extend(found)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(_signed(out))], ["key", "s"])
 
 
 def _tokens(wanted):
@@ -163,36 +204,50 @@ def _tokens(wanted):
 
 
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: i (its id), key (a number), sketches, leaves and hashes of its lines."""
+    """A row a document: i (its id), key (a number), a hash of its text, smallest shingle hashes, leaves and hashes of its lines."""
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return cut(own.mapInArrow(_lines, f"i {kind}, sketches array<long>, leaves array<long>, hashes array<long>").withColumn("key", F.monotonically_increasing_id()))
+    return cut(own.mapInArrow(_lines, f"i {kind}, whole long, low array<long>, leaves array<long>, hashes array<long>").withColumn("key", F.monotonically_increasing_id()))
 
 
 def recurring(docs: DataFrame, per: DataFrame, text_col: str = "text", few: int = FEW) -> DataFrame:
     """(th): hashes of the masked lines whose template recurs across documents; per: the documents parsed."""
     text = docs.select(F.col(text_col).cast("string").alias("text"))
-    # Of documents with one sketch the first speaks for all; the next sketch catches those that an edit has parted.
-    voices = per.select("key", *[F.get("sketches", F.lit(i)).alias(f"s{i}") for i in range(SKETCHES)])
-    for i in range(SKETCHES):
-        rest = [f"s{j}" for j in range(i + 1, SKETCHES)]
-        voices = voices.groupBy(f"s{i}").agg(F.min(F.struct("key", *rest)).alias("one")).select("one.*")
-    flat = per.select("key", F.explode(F.arrays_zip("leaves", "hashes")).alias("x")).select("key", F.col("x.leaves").alias("leaf"), F.col("x.hashes").alias("th"))
-    flat = flat.join(voices.select("key", F.lit(1).alias("voice")), "key", "left")
-    lines = cut(flat.groupBy("leaf", "th").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce("voice", F.lit(0))).alias("voices")))
-    often = (F.col("voices") >= few) & (F.col("voices") >= SHARE * F.col("docs"))
-    exact = lines.filter(often).select("th")
+    # Equal texts have equal lines, so one of them is enough.
+    first = per.join(per.groupBy("whole").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    flat = cut(first.select("key", F.explode(F.arrays_zip("leaves", "hashes")).alias("x")).select("key", F.col("x.leaves").alias("leaf"), F.col("x.hashes").alias("th")))
+    # What no FEW texts have can't recur; the groups of documents that have nothing else do not matter.
+    lines = cut(flat.groupBy("leaf", "th").agg(F.count(F.lit(1)).alias("docs")))
+    wide = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= few)
+    able = lines.join(wide, "leaf", "left").filter((F.col("docs") >= few) | F.col("kinds").isNotNull()).select("leaf", "th")
+    able = cut(flat.join(able, ["leaf", "th"], "left_semi"))
+    said = groups(first.join(able.select("key").distinct(), "key", "left_semi"), few)
+    said = cut(able.join(said, "key").select("leaf", "th", "voice").distinct())
+    exact = said.groupBy("th").agg(F.count(F.lit(1)).alias("voices")).filter(F.col("voices") >= few).select("th")
     # Leaves whose lines recur only together: there, rare tokens are variable.
-    leaves = cut(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("docs"), F.sum("voices").alias("voices")).filter((F.col("kinds") >= few) & often).select("leaf"))
-    made = generalised(text, leaves, lines, few)
+    leaves = said.select("leaf", "voice").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("voices")).filter(F.col("voices") >= few)
+    made = generalised(text, cut(leaves.join(wide, "leaf", "left_semi").select("leaf")), said, few)
     return exact.unionByName(made).distinct() if made is not None else exact.distinct()
 
 
+def groups(per: DataFrame, few: int = FEW) -> DataFrame:
+    """(key, voice): the group of near copies that each document is in, by its smallest key."""
+    own = cut(per.select("key", "low"))
+    flat = own.select("key", F.explode("low").alias("h"))
+    common = flat.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= few).select("h")
+    common = flat.join(common, "h", "left_semi").groupBy("key").agg(F.collect_list("h").alias("common"))
+    sketches = cut(own.join(common, "key", "left").select("key", "low", "common").mapInArrow(_sketches, "key long, s long"))
+    met = sketches.groupBy("s").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    links = sketches.join(met, "s").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    linked = components(links)
+    return own.select("key").join(linked, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("voice"))
+
+
 #: Leaves that are sent to all executors at most; more are met by a join.
 MANY = 1_000_000
 
 
-def generalised(text: DataFrame, leaves: DataFrame, lines: DataFrame, few: int) -> DataFrame | None:
+def generalised(text: DataFrame, leaves: DataFrame, said: DataFrame, few: int) -> DataFrame | None:
     """(th) of lines whose template, rare tokens being variable, recurs."""
     n = leaves.count()
     if not n:
@@ -205,10 +260,10 @@ def generalised(text: DataFrame, leaves: DataFrame, lines: DataFrame, few: int)
         rows = text.mapInArrow(_tokens(None), "leaf long, th long, j int, tok long, n int").join(leaves, "leaf", "left_semi")
     rows = cut(rows.distinct())
     counts = rows.groupBy("leaf", "j", "tok").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= few)
-    constant = rows.join(counts, ["leaf", "j", "tok"]).withColumn("h", F.shiftright(F.xxhash64("j", "tok"), 20))
+    constant = rows.join(counts, ["leaf", "j", "tok"], "left_semi").withColumn("h", F.shiftright(F.xxhash64("j", "tok"), 20))
     shapes = constant.groupBy("leaf", "th", "n").agg(F.sum("h").alias("shape"), F.count(F.lit(1)).alias("fixed")).filter(F.col("fixed") >= LIKE * F.col("n"))
-    shapes = shapes.join(lines, ["leaf", "th"])
-    often = shapes.groupBy("leaf", "shape").agg(F.sum("docs").alias("d"), F.sum("voices").alias("v")).filter((F.col("v") >= few) & (F.col("v") >= SHARE * F.col("d")))
+    voices = shapes.join(said, ["leaf", "th"]).select("leaf", "shape", "voice").distinct()
+    often = voices.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("voices")).filter(F.col("voices") >= few)
     return shapes.join(often, ["leaf", "shape"], "left_semi").select("th")
 
 
