@@ -420,6 +420,16 @@ def test_groups_of_copies_keep_no_recurring_line(frame):
     assert all(got[400 + i]["__dropped"] == 2 and len(got[400 + i].text.split()) == 8 for i in range(12))
 
 
+def test_short_templates_have_variable_fields(frame):
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+    rows = [(i, "\n".join([" ".join(word() for _ in range(30)) + ".", f"Told again by {word()}", f"This story was written by {word()}", f"See the notes of {word()} on this", f"Not by {word()} {word()} {word()}"])) for i in range(12)]
+    got = templates.drop_lines(frame(rows)).collect()
+    assert all(r["__dropped"] == 2 and [len(x.split()) for x in r.text.split("\n")] == [30, 4, 5] for r in got)
+    rows = [(i, f"{' '.join(word() for _ in range(30))}.\nAnd all told by {word()}") for i in range(12)]
+    assert all(r["__dropped"] == 1 for r in templates.drop_lines(frame(rows)).collect())
+
+
 def test_one_document_is_one_voice(frame):
     text = "\n".join(f"Here the long path turns left at the house of {x}" for x in ("anna", "berta", "carla", "dora", "emma", "frida"))
     assert templates.drop_lines(frame([(1, text), (2, "Another text about other things.")])).filter("__dropped > 0").isEmpty()

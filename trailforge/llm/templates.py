@@ -43,8 +43,8 @@ from trailforge.llm.components import components
 LEAD = 3
 FEW = 5
 LIKE = 0.8
-#: Lines of fewer tokens have no variable fields but those with digits.
-SHORTEST = 8
+#: In lines of fewer tokens, one variable field would leave less than LIKE.
+SHORTEST = 5
 #: Words of a sketch's shingles.
 SHINGLE = 3
 
