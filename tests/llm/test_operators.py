@@ -70,6 +70,14 @@ def test_line_rules(spark, line, rule):
     assert spark.createDataFrame([(line,)], "l string").select(quality.failed_rule(F.col("l"))).first()[0] == rule
 
 
+@pytest.mark.parametrize(
+    ("line", "rule"),
+    [(f"{PROSE} " * 5 + "This text is licensed under the terms below.", "boilerplate"), (f"{'x' * 320}. Read more", "navigation"), ("WE ALL SHOUT THIS WHOLE LINE AT EVERY READER for IT IS OF MUCH WEIGHT TO US.", "punctuation"), ("WE SHOUT SOME OF THIS LINE but not so much of it that nine in ten are capitals.", None)],
+)
+def test_long_lines_are_judged_too(spark, line, rule):
+    assert spark.createDataFrame([(line,)], "l string").select(quality.failed_rule(F.col("l"))).first()[0] == rule
+
+
 def test_clean_drops_lines_then_documents(frame, odd):
     docs = frame([(1, f"{PROSE}\nAll rights reserved.\n{PROSE[::-1]}."), (2, "home | about | news | contact | imprint | help | more | less | top | end"), (3, PROSE)])
     got = {r.doc_id: r for r in quality.clean(docs).collect()}
