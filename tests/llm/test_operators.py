@@ -537,6 +537,16 @@ def test_one_of_each_group_stays(frame):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3, 9]
 
 
+def test_ids_do_not_part_or_join_documents(frame):
+    rng = np.random.default_rng(14)
+    a, b, c, d, e = (" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(40)) for _ in range(5))
+    # Null ids of different texts; one id of two texts; a copy whose id represents another group; equal rows.
+    docs = frame([(None, a), (None, b), (7, c), (7, d), (3, c), (3, e), (3, e), (9, b)])
+    got = sorted((r.text for r in simhash.drop_near_duplicates(docs).collect()))
+    assert got == sorted([a, b, c, d, e])
+    assert {(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()} == {(None, a), (9, b), (3, c), (7, d), (3, e)}
+
+
 # 10. packing
 
 

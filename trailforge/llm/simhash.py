@@ -73,13 +73,20 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches):
     for batch in batches:
         values = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def _hash(text_col: str):
+    """A hash that parts rows of one id by their texts."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long; if asked for, th: a hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    more = [_hash(text_col).alias("th")] if hashed else []
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return own.mapInArrow(_fingerprints, f"doc_id {kind}, fp long" + (", th long" if hashed else ""))
 
 
 def flips() -> tuple[np.ndarray, np.ndarray]:
@@ -187,23 +194,32 @@ def fingerprint_components(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, fp (signed long), fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     own = cut(fingerprints(docs, id_col, text_col))
-    least = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = cut(fingerprint_components(least.select("fp")))
-    named = least.join(linked, F.col("fp") == F.col("node"), "left").withColumn("top", F.coalesce("component", "fp"))
-    names = named.groupBy("top").agg(F.min("first_id").alias("component_id"))
-    names = named.select("fp", "top").join(names, "top").select(F.col("fp").alias("key"), "component_id")
+    names = _tops(own)
+    names = names.join(names.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select(F.col("fp").alias("key"), "component_id")
     out = own.join(names, F.col("fp") == F.col("key"))
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _tops(own: DataFrame) -> DataFrame:
+    """(fp, top, first_id): of each fingerprint its component's smallest and its own smallest id."""
+    least = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    linked = cut(fingerprint_components(least.select("fp")))
+    return least.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("top"), "first_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component that with the smallest id stays; columns as they came.
 
-    Of several equal rows of that id one stays.
+    Rows are told apart by id and text, so ids that are null or occur several
+    times do no harm; of several rows of one id and text one stays.
     """
-    found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
-    kept = docs.join(keep.distinct(), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    if keep.groupBy("__keep").count().filter("count > 1").isEmpty():
+    own = cut(fingerprints(docs, id_col, text_col, True))
+    tops = _tops(own).select(F.col("fp").alias("key"), "top")
+    # Null ids come last.
+    one = own.join(tops, F.col("fp") == F.col("key")).groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("one"))
+    keep = cut(one.select(F.col("one.doc_id").alias("__keep"), F.col("one.th").alias("__th")))
+    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")) & (_hash(text_col) == F.col("__th")), "left_semi")
+    again = own.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("th") == F.col("__th")), "left_semi")
+    if again.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_col])
+    return kept.withColumn("__th", _hash(text_col)).dropDuplicates([id_col, "__th"]).drop("__th")
