@@ -252,6 +252,15 @@ def test_rare_grams_forget_their_farthest_byte(frame):
     assert n.sum() == m.sum() and len(found) < len(whole)
 
 
+def test_no_gram_is_lost_in_large_trees(frame):
+    raw = np.random.default_rng(16).choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8), 4_400_000)
+    text = raw.tobytes().decode()
+    grams = sum(raw[k : len(raw) - 4 + k].astype(np.uint64) << np.uint64(8 * k) for k in range(5))
+    found, n = ctw.learn(frame([(i, text[k : k + 100_000]) for i, k in enumerate(range(0, len(text), 100_000))]))
+    # A text of 100,000 letters has 100,001 decisions, the end mark being one.
+    assert len(found) > 0.97 * len(np.unique(grams)) > 4_000_000 and n.sum() == 44 * 100_001
+
+
 # 5. phrases
 
 

@@ -11,10 +11,9 @@ over whole texts; its code length per byte is -score / log10(2) / bytes.
 
 Learning counts the n-grams of all training texts in the executors; partial
 counts meet by n-gram. What the tree is built from are the different n-grams;
-their number is bounded by the data's alphabet, and where it passes ``most`` the
-rarest lose their deepest contexts, which leaves a smaller tree of the same kind.
-``most`` bounds what the driver gathers and what is broadcast (20 bytes each).
-The corpus counts themselves are never cut.
+all are kept. The driver gathers them and they are broadcast (20 bytes each), so
+memory grows with the number of different n-grams. Only a caller that gives
+``most`` gets a cut tree, in which the rarest n-grams lose their deepest contexts.
 
 The base score needs every token's count. Texts are dealt to buckets; each
 bucket counts its tokens, the counts meet by token in a window that has a row
@@ -43,7 +42,6 @@ from trailforge.llm.common import cut, parts
 
 DEPTH = 4
 END = 0xFF
-MOST = 4_000_000
 #: Bytes that are counted at a time, and scored.
 SLAB, SCORED = 4_000_000, 1_000_000
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -229,12 +227,12 @@ class Tree:
         return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams of all texts, ascending, and their counts; at most about ``most``."""
+def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of all texts, ascending, and their counts; at most about ``most`` where it is given."""
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted, "gram long, n long")
     counts = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))
     floor = 1
-    while counts.filter(F.col("n") >= floor).count() > most:
+    while most is not None and counts.filter(F.col("n") >= floor).count() > most:
         floor *= 2
     if floor > 1:
         # Rare n-grams forget their farthest bytes, one after another, until they are common enough or have no context.
@@ -320,7 +318,7 @@ def _scored(name, shared, kind):
     return score
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, most: int = MOST) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, most: int | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     from pyspark.sql.pandas.types import to_arrow_type
 
