@@ -337,6 +337,28 @@ def test_switched_text_is_labelled_word_by_word():
     assert label.tolist() == [0] * 4 + [1] * 4
 
 
+def test_letters_of_long_words_all_count():
+    word = "".join(chr(0x4E00 + k) for k in range(300))
+    found = set(langid.features(word))
+    assert all(langid._bucket(word[k : k + n]) in found for n in (2, 3) for k in range(len(word) - n + 1))
+    rng = np.random.default_rng(15)
+    words = ["".join(rng.choice(list("abcdefghij"), n)) for n in (1, 5, 90, 2000)] * 3 + ["12"]
+    weights = rng.normal(size=(langid.BUCKETS, 3))
+    some = [words[k % len(words)] for k in range(700)]
+    own = langid.Words(weights)
+    own.fresh = list(some)
+    table, letter = own.table()
+    want = [weights[langid.features(x)].sum(axis=0) / math.sqrt(len(langid.features(x))) if x.isalpha() else np.zeros(3) for x in some]
+    assert np.allclose(table, want) and letter.tolist() == [x.isalpha() for x in some]
+
+
+def test_every_language_is_learned(frame):
+    langs = [f"l{k:02d}" for k in range(70)]
+    docs = frame([(1000 * k + i, f"{chr(0x4E00 + 40 * k + i)}{chr(0x4E00 + 40 * k)} text", lang, "a", 7) for k, lang in enumerate(langs) for i in range(6)])
+    found, model = langid.learn(docs, per_lang=2)
+    assert found == langs and model[0].shape[1] == 70
+
+
 # 7. token files
 
 TEXTS = st.text(alphabet=st.sampled_from(list("ab .,\n\t 'sS1é  ?!́Σ\xa0\x1c\x02|")), max_size=60)

@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 #: Windows of training text a language, and words a window.
 PER_LANG, WINDOW = 400, 60
-#: Languages at most: those with the most training documents.
-LANGS = 64
 EPOCHS, RATE = 4, 0.3
-#: Word-steps that run through the recursion together.
-STEPS = 400_000
+#: Word-steps that run through the recursion together, with so many languages at most; fewer with more.
+STEPS, STATES = 400_000, 64
+#: Letters of the words that are scored together.
+LETTERS = 400_000
 UNKNOWN = "und"
 _TOKEN = re.compile(r"[^ \t-\r]+")
 
@@ -71,7 +71,7 @@ def features(word: str) -> list[int]:
         w = "".join(c for c in w if c.isalpha())
         if not w:
             return []
-    b = f"^{w[:40]}$"
+    b = f"^{w}$"
     n = len(b)
     found = [b[i : i + 2] for i in range(n - 1)]
     found += [b[i : i + 3] for i in range(n - 2)]
@@ -99,8 +99,11 @@ class Words(dict):
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """The scores of all words, and which have a letter."""
         parts = [self.scores]
-        for k in range(0, len(self.fresh), 50_000):
-            found = [features(w) for w in self.fresh[k : k + 50_000]]
+        # Words may be whole paragraphs in scripts without blanks.
+        slab = np.cumsum([len(w) for w in self.fresh], dtype=np.int64) // LETTERS
+        edges = [0, *(np.flatnonzero(np.diff(slab)) + 1).tolist(), len(self.fresh)] if self.fresh else []
+        for k, end in zip(edges, edges[1:]):
+            found = [features(w) for w in self.fresh[k:end]]
             sizes = np.array([len(f) for f in found])
             flat = np.array([x for f in found for x in f], np.int64)
             own = np.zeros((len(found), self.weights.shape[1]))
@@ -231,13 +234,12 @@ def fit(windows: list[tuple[list[str], int]], n: int, seed: int = 7) -> tuple[np
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> tuple[list[str], tuple | None]:
     """The languages, ascending, and the fitted field; from ``per_lang`` training documents a language at most."""
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    top = [r["lang"] for r in train.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGS).collect()]
-    if not top:
+    counts = train.groupBy("lang").count().collect()
+    langs = sorted(r["lang"] for r in counts)
+    if not langs:
         return [], None
-    langs = sorted(top)
     # The smallest hashes of each language; min_by keeps so many in the partial sums, never a group.
-    drawn = train.filter(F.col("lang").isin(langs)).withColumn("r", F.xxhash64("id", F.lit("sample")))
-    counts = train.groupBy("lang").count().collect()
+    drawn = train.withColumn("r", F.xxhash64("id", F.lit("sample")))
     share = {r["lang"]: min(1.0, 2.0 * per_lang / r["count"]) for r in counts}
     bound = F.create_map(*[F.lit(x) for k in langs for x in (k, int(-(2**63) + min(share[k] * 2**64, 2**64 - 2)))])
     drawn = drawn.filter(F.col("r") <= F.element_at(bound, F.col("lang")))
@@ -284,7 +286,7 @@ def _predicted(shared, name: str, kind: pa.DataType):
                 while order:
                     # The longest documents first; as many as fit.
                     longest = len(coded[order[-1]])
-                    some = order[-max(1, STEPS // longest) :]
+                    some = order[-max(1, STEPS * STATES // max(STATES, len(langs)) // longest) :]
                     del order[len(order) - len(some) :]
                     _run([coded[k] for k in some], some, table, start, move, langs, pred, score, switches)
             out = [batch.column(0), batch.column(2), pa.array(pred), pa.array(score), pa.array(switches)]
