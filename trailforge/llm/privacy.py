@@ -1,20 +1,24 @@
 """Personal data by weak supervision.
 
 Base spans (email, ip, card, phone) are those of the fixed patterns and always
-stay. The method looks at more candidates: credentials, national numbers, local
-phone numbers and titled names, beside the base patterns' own matches, valid or
-not. Labelers vote on each candidate: a strict pattern, a gazetteer, the words
-before it, its shape, and words that speak against it. Expectation-maximisation
+stay. The method looks at more candidates: credentials of any length, national
+numbers, local phone numbers and titled names in English, German, French and
+Spanish, beside the base patterns' own matches, valid or not. Labelers vote on
+each candidate: a strict pattern, a gazetteer (domain endings, calling codes,
+card issuers, key vendors, given names), the words before it, its shape, and
+words that speak against it. Expectation-maximisation
 over the counts of vote patterns estimates how reliable each labeler is; the
 expected labels train a naive Bayes classifier of the spans' features, which
 decides on the candidates that are not base spans.
 
-Everything that grows with the corpus is DataFrame work with built-in functions.
-The driver sees two tables of fixed size: counts by vote pattern (32 at most) and
+Everything that grows with the corpus is DataFrame work with built-in functions,
+and a text's spans cost time in proportion to its length and nearly so to their
+number: places are sums by blocks of spans, and spans meet base spans in the
+order of their places. The driver sees two tables of fixed size: counts by vote pattern (32 at most) and
 sums by feature value (a few dozen).
 
 Defined cases: a null text is empty and has no span; spans of one kind don't
-overlap; a found span that touches a base span is left out; repeated rows get
+overlap; the words before a span go back to the last match of its kind at most; a found span that touches a base span is left out; repeated rows get
 equal results each; without any candidate nothing is trained and nothing added.
 """
 
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailforge.llm.common import cut
@@ -34,17 +38,25 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Further candidates by kind.
 MORE = {
-    "secret": r"""(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?[^\s"',;]{6,200}|(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{12,60}|[0-9a-f]{20,128})(?![A-Za-z0-9])""",
+    "secret": r"""(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?[^\s"',;]{6,}+|(?<![A-Za-z0-9])(?:(?:AIza|gh[opsu]_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,}+|[A-Z]{4}[A-Z0-9]{12,}+(?![a-z])|[0-9a-f]{20,}+(?![A-Zg-z]))""",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "local_phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "local_phone": r"(?<![0-9+(.-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}|0[0-9](?:[\x20.][0-9]{2}){4}|0[0-9]{2,4}[\x20/-][0-9]{5,8}|[6789][0-9]{2}(?:\x20[0-9]{2}){3})(?![0-9-])",
+    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|M|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Señor|Señora|Don|Doña)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 BASE = ("email", "ip", "card", "phone")
-#: What the gazetteer labeler knows.
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "eu")
-VENDORS = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|sk-|xox[abp]-)"
-CUES = r"(?i)(?:mail|contact|write|phone|call|tel|fax|mobile|card|visa|account|iban|ssn|social|ip|host|server|address|pass|pwd|secret|token|key|login|user|name)[^\n]{0,12}$"
-AGAINST = r"(?i)(?:version|page|figure|fig\.|table|isbn|issn|chapter|section|vol\.)[^\n]{0,6}$"
+#: What the gazetteer labeler knows, by kind; domain endings, first digits of cards, calling codes, key vendors, given names.
+DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "at", "ch", "fr", "be", "es", "mx", "ar", "uk", "ie", "us", "ca", "it", "nl", "eu")
+ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6")
+CALLING = ("1", "30", "31", "32", "33", "34", "351", "353", "36", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "61", "7", "81", "86", "91")
+VENDORS = ("AKIA", "ASIA", "AIza", "gho_", "ghp_", "ghs_", "ghu_", "sk-", "xoxa-", "xoxb-", "xoxp-")
+GIVEN = (
+    *("Alice", "Andrew", "Anna", "Charles", "David", "Elizabeth", "Emily", "George", "James", "Jane", "John", "Linda", "Mary", "Michael", "Peter", "Robert", "Sarah", "Susan", "Thomas", "William"),
+    *("Andreas", "Christian", "Claudia", "Hans", "Julia", "Karin", "Klaus", "Markus", "Monika", "Sabine", "Stefan", "Ursula", "Wolfgang"),
+    *("André", "Camille", "Catherine", "Claire", "François", "Françoise", "Jacques", "Jean", "Louis", "Luc", "Marie", "Michel", "Nathalie", "Philippe", "Pierre", "Sophie"),
+    *("Ana", "Antonio", "Carlos", "Carmen", "Francisco", "Javier", "José", "Juan", "Laura", "Luis", "Manuel", "María", "Miguel", "Pablo", "Pilar", "Rosa"),
+)
+CUES = r"(?i)(?:mail|contact|write|phone|call|tel|fax|mobile|card|visa|account|iban|ssn|social|ip|host|server|address|pass|pwd|secret|token|key|login|user|name|konto|karte|kennwort|adresse|anruf|appel|compte|carte|correo|llam|tarjeta|cuenta|clave)[^\n]{0,12}$"
+AGAINST = r"(?i)(?:version|page|figure|fig\.|table|isbn|issn|chapter|section|vol\.|seite|kapitel|abbildung|chapitre|página|capítulo|figura)[^\n]{0,6}$"
 #: Code points before a span that the context labelers read.
 BEFORE = 32
 LABELERS = ("strict", "gazetteer", "context", "shape", "against")
@@ -52,25 +64,49 @@ LABELERS = ("strict", "gazetteer", "context", "shape", "against")
 SURE = 0.5
 
 
+#: Spans whose lengths are summed together.
+BLOCK = 128
+
+
 def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda t, x: t + x)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value being computed once, however often lambdas in the body read it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(lengths: Column, body) -> Column:
+    """body(at), where at(i) is the sum of the lengths up to the place i, itself included: sums of whole blocks, then within one."""
+    blocks = lambda x: F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+    sums = lambda x: F.transform(blocks(x), lambda j: _total(F.slice(x, j * BLOCK + 1, BLOCK)))
+    ahead = lambda s: F.transform(s, lambda _, j: _total(F.slice(s, F.lit(1), j)))
+
+    def at(x, a, i):
+        block = F.floor(i / BLOCK).cast("int")
+        return F.get(a, block) + _total(F.slice(x, block * BLOCK + 1, i - block * BLOCK + 1))
+
+    return _let(lengths, lambda x: _let(sums(x), lambda s: _let(ahead(s), lambda a: body(lambda i: at(x, a, i)))))
+
+
 def _with_spans(df: DataFrame, kind: str, pattern: str, gate: Column) -> DataFrame:
     """Add a column of the kind's name: array of (kind, start, end, value, before), leftmost and non-overlapping; null without any."""
-    hits, gaps, marks = f"__{kind}_h", f"__{kind}_g", f"__{kind}_l"
-    df = df.withColumn(hits, F.when(gate, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    some = F.size(F.col(hits)) > 0
-    df = df.withColumn(gaps, F.when(some, F.transform(F.split("text", pattern, -1), lambda x: F.length(x))))
-    df = df.withColumn(marks, F.when(some, F.transform(hits, lambda x: F.length(x))))
 
-    def span(value: Column, i: Column) -> Column:
-        start = _total(F.slice(F.col(gaps), F.lit(1), i + 1)) + _total(F.slice(F.col(marks), F.lit(1), i))
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), value.alias("value"))
+    def spans(hits: Column, gaps: Column) -> Column:
+        steps = F.transform(hits, lambda _, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(hits, i - 1)), F.lit(0)))
+
+        def span(at):
+            def one(value, i):
+                return _let(at(i), lambda start: F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(F.get(gaps, i), F.lit(BEFORE)).alias("before")))
+
+            return F.transform(hits, one)
+
+        return _running(steps, span)
 
-    df = df.withColumn(f"__{kind}_s", F.when(some, F.transform(hits, span)))
-    full = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"), F.substring(F.col("text"), F.greatest(x["start"] - BEFORE, F.lit(0)) + 1, F.least(x["start"], F.lit(BEFORE))).alias("before"))
-    return df.withColumn(kind, F.transform(f"__{kind}_s", full)).drop(hits, gaps, marks, f"__{kind}_s")
+    found = F.when(gate, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    parted = F.split("text", pattern, -1)
+    return df.withColumn(kind, _let(found, lambda hits: F.when(F.size(hits) > 0, _let(parted, lambda gaps: spans(hits, gaps)))))
 
 
 def _digits(value: Column) -> Column:
@@ -120,21 +156,25 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def candidates(per: DataFrame) -> DataFrame:
     """A row a candidate: nth (of the document's row), found (not a base match), span, votes and features."""
-    touches = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    free = F.filter("more", lambda x: ~touches(x))
     tagged = lambda spans, found, valid: F.transform(spans, lambda x: F.struct(x.alias("span"), F.lit(found).alias("found"), F.lit(valid).alias("valid")))
-    every = F.concat(tagged(F.col("base"), False, True), tagged(F.col("failed"), False, False), tagged(free, True, True))
+    every = F.concat(tagged(F.col("base"), False, True), tagged(F.col("failed"), False, False), tagged(F.col("more"), True, True))
     rows = per.select("nth", F.explode(every).alias("x")).select("nth", "x.found", "x.valid", "x.span.*")
+    # Of the base spans of a text: the farthest end of those that begin before, the nearest start of those that begin after.
+    base = F.col("valid") & ~F.col("found")
+    up = Window.partitionBy("nth").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("nth").orderBy(F.col("start").desc(), F.col("end").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"reach": F.max(F.when(base, F.col("end"))).over(up), "next": F.min(F.when(base, F.col("start"))).over(down)})
+    rows = rows.filter(~F.col("found") | ~(F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))))
     v, kind = F.col("value"), F.col("kind")
     n = F.length(v)
     digits = F.length(_digits(v))
     strict = F.col("valid") & F.when(kind == "secret", v.rlike(r"[0-9]") & v.rlike(r"[0-9A-Za-z]{12}")).when(kind == "national_id", ~v.rlike(r"^(?:000|666|9)|-00-|-0000$")).otherwise(True)
     known = (
-        F.when(kind == "email", v.rlike(rf"\.(?:{'|'.join(DOMAINS)})$"))
-        .when(kind == "card", v.rlike(r"^(?:4|5[1-5]|3[47]|6)"))
-        .when(kind == "phone", v.rlike(r"^\+(?:1|3|4)"))
-        .when(kind == "secret", v.rlike(VENDORS) | v.rlike(r"(?i)^(?:pass|pwd|secret|token|api|access)"))
-        .when(kind == "name", F.lit(True))
+        F.when(kind == "email", F.lower(F.regexp_extract(v, r"\.([A-Za-z]+)$", 1)).isin(*DOMAINS))
+        .when(kind == "card", F.left(_digits(v), F.lit(1)).isin(*ISSUERS) | F.left(_digits(v), F.lit(2)).isin(*ISSUERS))
+        .when(kind == "phone", F.exists(F.array(*[F.left(_digits(v), F.lit(k)) for k in (1, 2, 3)]), lambda x: x.isin(*CALLING)))
+        .when(kind == "secret", F.exists(F.array(*[F.lit(x) for x in VENDORS]), lambda x: v.startswith(x)) | v.rlike(r"(?i)^(?:pass|pwd|secret|token|api|access)"))
+        .when(kind == "name", F.get(F.split(v, " "), F.lit(1)).isin(*GIVEN))
         .otherwise(False)
     )
     shape = F.when(kind.isin("secret", "email"), v.rlike(r"[0-9]") & v.rlike(r"[A-Za-z]")).when(kind == "name", v.rlike(r"\p{Ll} \p{Lu}")).otherwise(digits * 2 >= n)
@@ -212,8 +252,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: counts of the base kinds, the hash of the base spans, all spans as text."""
+    """Per document: counts of the base kinds, the hash of the base spans, all spans as text, and their number."""
     found = find(docs, id_col, text_col)
     spelled = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(spelled("base"), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(spelled("base"), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
