@@ -7,8 +7,7 @@ built-in functions run here, within one scan and without a shuffle.
 Defined cases: a null text counts as empty and has no word, so its base rule
 fails and it is not kept; its cleaned text is empty. Lines without a word are
 neither judged nor counted as lost. Repeated rows get equal results each. Extra
-columns pass through ``clean`` untouched; its own columns replace columns of
-the same names.
+columns pass through ``clean`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,17 +143,17 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
     A length column, where there is one, is set to the code points of the new
     text.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tokens = words(F.col(text_col))
-    n = F.size("__tokens")
-    lines, good = _judged(text)
-    lost = F.aggregate(F.col("__lines"), F.lit(0), lambda t, x: t + F.length(x)) - F.aggregate(F.col("__good"), F.lit(0), lambda t, x: t + F.length(x))
-    whole = F.aggregate(F.col("__lines"), F.lit(0), lambda t, x: t + F.length(x))
-    hidden = _with_repeats(docs.withColumns({"__tokens": tokens, "__lines": lines, "__good": good}), "__tokens", "__repeated")
-    stays = (n >= 10) & (100 * F.col("__repeated") <= 20 * n) & (lost <= MOST_LOST * whole)
+    # The caller's columns travel in one struct, so that none meets a column of this function.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("whole"))
+    lines, good = _judged(F.col("whole"))
+    own = _with_repeats(own.withColumns({"tokens": words(F.col("whole")), "lines": lines, "good": good}), "tokens", "repeated")
+    chars = lambda x: F.aggregate(F.col(x), F.lit(0), lambda t, y: t + F.length(y))
+    n = F.size("tokens")
+    stays = (n >= 10) & (100 * F.col("repeated") <= 20 * n) & (chars("lines") - chars("good") <= MOST_LOST * chars("lines"))
     # The row number keeps the optimizer from pushing the filter below, where it would compute its columns inside the lambdas.
-    hidden = hidden.withColumns({"__stays": stays, text_col: F.array_join("__good", "\n"), "__row": F.monotonically_increasing_id()})
-    kept = hidden.filter(F.col("__stays") & (F.col("__row") >= 0))
+    own = own.withColumns({"stays": stays, "left": F.array_join("good", "\n"), "nth": F.monotonically_increasing_id()})
+    kept = own.filter(F.col("stays") & (F.col("nth") >= 0))
+    made = {text_col: F.col("left")}
     if length_col and length_col in docs.columns:
-        kept = kept.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        made[length_col] = F.length("left").cast(docs.schema[length_col].dataType)
+    return kept.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

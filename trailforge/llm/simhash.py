@@ -23,7 +23,8 @@ smallest doc_id is the component's name.
 Defined cases: a null or blank text has no shingle and fingerprint zero, linked
 like any other; a text of fewer than three words is one shingle, all its words;
 repeated rows and equal texts share a fingerprint and so a component; an empty
-table gives an empty result. Null ids count as larger than others.
+table gives an empty result. Null ids count as larger than others. Extra
+columns pass through ``drop_near_duplicates`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import cut, parts
+from trailforge.llm.common import cut, parts, unused
 from trailforge.llm.components import components
 
 #: ASCII white space, all to the blank; capitals to small letters.
@@ -217,9 +218,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tops = _tops(own).select(F.col("fp").alias("key"), "top")
     # Null ids come last.
     one = own.join(tops, F.col("fp") == F.col("key")).groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("one"))
-    keep = cut(one.select(F.col("one.doc_id").alias("__keep"), F.col("one.th").alias("__th")))
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")) & (_hash(text_col) == F.col("__th")), "left_semi")
-    again = own.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("th") == F.col("__th")), "left_semi")
-    if again.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("__th", _hash(text_col)).dropDuplicates([id_col, "__th"]).drop("__th")
+    keep = cut(one.select(F.col("one.doc_id").alias("id"), F.col("one.th").alias("hash")))
+    again = own.join(keep, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")), "left_semi")
+    once = again.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
+    # Names that no column of the caller's has.
+    id_, hash_ = unused(docs, "id"), unused(docs, "hash")
+    keep = keep.toDF(id_, hash_)
+    kept = docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (_hash(text_col) == F.col(hash_)), "left_semi")
+    return kept if once else kept.withColumn(hash_, _hash(text_col)).dropDuplicates([id_col, hash_]).drop(hash_)

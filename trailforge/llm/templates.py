@@ -24,7 +24,7 @@ the id; nothing is broadcast.
 Defined cases: a null text counts as empty and stays as it is (null); lines
 without a token are kept and not counted; a line whose template has no constant
 token with a letter is kept; repeated rows count as copies; an empty table gives
-an empty result; other columns pass through untouched.
+an empty result; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import cut
+from trailforge.llm.common import cut, unused
 from trailforge.llm.components import components
 
 LEAD = 3
@@ -166,7 +166,7 @@ def _lines(batches):
             low.append(smallest(text).view(np.int64))
             leaves.append(_signed(list(found.values())))
             hashes.append(_signed(list(found)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(whole)), pa.array(low, kind), pa.array(leaves, kind), pa.array(hashes, kind)], ["i", "whole", "low", "leaves", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_signed(whole)), pa.array(low, kind), pa.array(leaves, kind), pa.array(hashes, kind)], ["i", "jvm", "whole", "low", "leaves", "hashes"])
 
 
 def _sketches(batches):
@@ -203,11 +203,15 @@ def _tokens(wanted):
     return rows
 
 
+def _jvm_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: i (its id), key (a number), a hash of its text, smallest shingle hashes, leaves and hashes of its lines."""
-    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
+    """A row a document: i (its id), key (a number), two hashes of its text (Spark's: jvm), smallest shingle hashes, leaves and hashes of its lines."""
+    own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text"), _jvm_hash(text_col).alias("jvm"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return cut(own.mapInArrow(_lines, f"i {kind}, whole long, low array<long>, leaves array<long>, hashes array<long>").withColumn("key", F.monotonically_increasing_id()))
+    return cut(own.mapInArrow(_lines, f"i {kind}, jvm long, whole long, low array<long>, leaves array<long>, hashes array<long>").withColumn("key", F.monotonically_increasing_id()))
 
 
 def recurring(docs: DataFrame, per: DataFrame, text_col: str = "text", few: int = FEW) -> DataFrame:
@@ -293,7 +297,7 @@ def _dropped(names: list[str], text_at: int, length_at: int | None):
             cols[text_at] = pa.array(texts, pa.string())
             if length_at is not None:
                 cols[length_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[length_at].type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], [*names, "__lines", "__dropped"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names)
 
     return drop
 
@@ -302,18 +306,29 @@ def _signed_back(values) -> list[int]:
     return np.array(values, np.int64).view(np.uint64).tolist()
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", few: int = FEW) -> DataFrame:
-    """The documents without recurring lines, columns as they came, and __lines and __dropped."""
-    per = parse(docs, id_col, text_col)
-    often = recurring(docs, per, text_col, few)
-    flat = per.select(F.col("i").alias("__i"), F.explode("hashes").alias("th")).join(often, "th", "left_semi")
-    lost = flat.groupBy("__i").agg(F.collect_set("th").alias("__lost"))
-    joined = docs.withColumn(text_col, F.col(text_col).cast("string")).join(lost, F.col(id_col).eqNullSafe(F.col("__i")), "left").drop("__i")
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", few: int = FEW, counts: tuple[str, str] | None = ("__lines", "__dropped"), emptied: bool = True) -> DataFrame:
+    """The documents without recurring lines, columns as they came, and the numbers of lines and of dropped ones.
+
+    counts: the names of those two columns, which replace columns of the same
+    names; None: without them. emptied: whether documents stay that lose every word.
+    """
     from pyspark.sql import types as T
 
+    per = parse(docs, id_col, text_col)
+    often = recurring(docs, per, text_col, few)
+    flat = per.select("i", "jvm", F.explode("hashes").alias("th")).join(often, "th", "left_semi")
+    # Rows are told apart by id and text, so null ids do not meet in one group.
+    lost = flat.groupBy("i", "jvm").agg(F.collect_set("th").alias("lost"))
+    id_, hash_, lost_, lines_, gone_ = (unused(docs, x) for x in ("i", "jvm", "lost", "lines", "gone"))
+    lost = lost.toDF(id_, hash_, lost_)
+    joined = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    joined = joined.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (_jvm_hash(text_col) == F.col(hash_)), "left")
     names = docs.columns
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields]
-    schema = T.StructType([*fields, T.StructField("__lines", T.LongType()), T.StructField("__dropped", T.LongType())])
+    schema = T.StructType([*fields, T.StructField(lines_, T.LongType()), T.StructField(gone_, T.LongType())])
     length_at = names.index(length_col) if length_col in names else None
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__lost").mapInArrow(_dropped(names, names.index(text_col), length_at), schema)
-
+    out = joined.select(*[F.col(f"`{c}`") for c in names], lost_).mapInArrow(_dropped([*names, lines_, gone_], names.index(text_col), length_at), schema)
+    if not emptied:
+        out = out.filter((F.col(gone_) == 0) | F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"))
+    named = dict(zip(counts, (lines_, gone_))) if counts else {}
+    return out.select(*[F.col(f"`{c}`") for c in names if c not in named], *[F.col(v).alias(k) for k, v in named.items()])
