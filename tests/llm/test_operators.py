@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,14 @@ def rows_of(df, *columns):
     return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
 
 
+#: Every short name that the operators' code has in quotes: all columns that they make inside are among them.
+INSIDE = sorted({n for f in Path(common.__file__).parent.glob("*.py") for n in re.findall(r"[\"']([A-Za-z_][A-Za-z0-9_]{0,15})[\"']", f.read_text())} - {"doc_id", "text", "lang", "source", "n_chars"})
+INSIDE = [n for k, n in enumerate(INSIDE) if n.lower() not in {m.lower() for m in INSIDE[:k]}]
+
+
 def clashing(df):
     """The same rows with columns whose names the operators use inside."""
-    return df.withColumns({"fp": F.lit("x"), "target": F.lit(1), "hit": F.lit(2), "size": F.lit(3), "kind": F.lit("k"), "bucket": F.lit(4), "__lost": F.lit(5)})
+    return df.select("*", *[F.lit(n).alias(n) for n in INSIDE])
 
 
 # 1. quality rules
@@ -83,7 +89,8 @@ def test_clean_drops_lines_then_documents(frame, odd):
     got = {r.doc_id: r for r in quality.clean(docs).collect()}
     assert set(got) == {1, 3}
     assert got[1].text == f"{PROSE}\n{PROSE[::-1]}." and got[1].n_chars == len(got[1].text)
-    assert quality.clean(clashing(odd)).columns == clashing(odd).columns
+    kept = quality.clean(clashing(odd))
+    assert kept.columns == clashing(odd).columns and all(r[n] == n for r in kept.collect() for n in INSIDE)
 
 
 # 2. personal data
@@ -121,6 +128,11 @@ def test_personal_data(frame, odd):
         assert got[i].base_sha256 == hashlib.sha256(base_spans(t).encode()).hexdigest(), t
         assert got[i].spans.startswith(base_spans(t))
     assert privacy.digest(clashing(odd)).count() == 10
+    # Many spans in one text, more than a block of them.
+    many = " ".join(f"a{i}@b{i % 7}.com, Mr. John Smith" for i in range(3000))
+    r = privacy.digest(frame([(1, many)])).first()
+    assert r.base_sha256 == hashlib.sha256(base_spans(many).encode()).hexdigest() and r.n_email == 3000
+    assert all(many[int(s.split(":")[1]) : int(s.split(":")[2])] == "Mr. John Smith" for s in r.spans.split(",") if s.startswith("name"))
     assert privacy.digest(odd.limit(0)).count() == 0
 
 
@@ -143,6 +155,26 @@ def test_secrets_are_added_and_prose_is_not(frame):
     assert all(got[200 + i] == "" for i in range(20))
 
 
+def test_whole_secrets_are_found(frame):
+    secrets = ["token=" + "a1" * 150, "0a" * 100, "ghp_" + "aB3" * 12, "AKIA" + "Z9" * 40, "xoxb-" + "1a-" * 10 + "z"]
+    rows = [(i, f"{PROSE} {secrets[i % 5]} {PROSE}") for i in range(60)] + [(100 + i, PROSE) for i in range(20)]
+    for r in privacy.digest(frame(rows)).collect():
+        start = len(PROSE) + 1
+        assert r.spans == ("" if r.doc_id >= 100 else f"secret:{start}:{start + len(secrets[r.doc_id % 5])}")
+
+
+def test_spans_are_found_and_others_left(frame):
+    """Recall and precision on planted spans of four languages, among numbers that look alike."""
+    rng = np.random.default_rng(22)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    good = [lambda: f"Call ({digits(3)}) 555-{digits(4)} now", lambda: f"Frau Claudia Meier kommt", lambda: f"appel: 01 {digits(2)} {digits(2)} {digits(2)} {digits(2)}", lambda: "Señora Carmen Ruiz dijo", lambda: f"password: {digits(6)}xYz{digits(4)}", lambda: f"ssn 1{digits(2)}-1{digits(1)}-{digits(3)}7"]
+    bad = [lambda: f"version {digits(2)}.{digits(1)}.{digits(1)}", lambda: f"page {digits(3)}", lambda: f"in 19{digits(2)}", lambda: f"isbn {digits(3)}-{digits(2)}-{digits(3)}"]
+    rows = [(i, f"{PROSE} {(good if i % 2 else bad)[(i // 2) % (6 if i % 2 else 4)]()}. {PROSE}") for i in range(400)]
+    got = {r.doc_id: r.n_spans for r in privacy.digest(frame(rows)).collect()}
+    hits, wrong = sum(got[i] > 0 for i in range(1, 400, 2)), sum(got[i] > 0 for i in range(0, 400, 2))
+    assert hits / 200 >= 0.8 and hits / (hits + wrong) >= 0.95
+
+
 # 3. mixing
 
 
@@ -173,6 +205,34 @@ def test_mix_meets_targets(frame, odd):
     assert mixed.count() == (got.taken / got["size"]).sum()
 
 
+def test_documents_enter_by_their_inclusion_probabilities(frame):
+    """Many sources of one profile stand for many draws."""
+    sizes = [1, 2, 3, 5, 8, 13, 20, 4, 6, 10, 30, 7]
+    rows = [(1000 * s + i, "w " * n, f"s{s:04d}") for s in range(900) for i, n in enumerate(sizes)]
+    got = mixing.mix(frame(rows)).toPandas()
+    got["nth"], got["grp"] = got.doc_id % 1000, got.doc_id // 1000 % 3
+    for grp, own in got.groupby("grp"):
+        total = sum(sizes)
+        mean = own.target.iloc[0] / total
+        missing = (mean - math.floor(mean)) * total
+        if missing < 1e-6:
+            assert (own.copies == round(mean)).all()
+            continue
+        certain: list[int] = []
+        while True:
+            rest = [n for k, n in enumerate(sizes) if k not in certain]
+            c = (missing - sum(sizes[k] for k in certain)) / sum(n * n for n in rest)
+            more = [k for k, n in enumerate(sizes) if k not in certain and c * n > 1]
+            if not more:
+                break
+            certain += more
+        p = [1.0 if k in certain else c * n for k, n in enumerate(sizes)]
+        # A budget of words in sources as small as these shifts each share a little.
+        share = (own.groupby("nth").copies.mean() - math.floor(mean)).to_numpy()
+        assert np.abs(share - p).max() < 0.12 and np.corrcoef(share, p)[0, 1] > 0.97
+        assert abs((share * sizes).sum() - missing) < 0.05 * total
+
+
 # 4. context-tree weighting
 
 
@@ -475,11 +535,24 @@ def test_one_document_is_one_voice(frame):
 
 
 def test_templates_on_odd_rows(odd):
-    done = templates.drop_lines(clashing(odd).drop("__lost"))
+    done = templates.drop_lines(clashing(odd), counts=("lines", "n_gone"))
     assert done.count() == 10 and done.filter("doc_id = 1").first().text is None
+    assert set(done.columns) == {*clashing(odd).columns, "n_gone"} and done.schema["lines"].dataType.simpleString() == "bigint"
+    done = templates.drop_lines(clashing(odd), counts=None, emptied=False)
+    assert done.columns == clashing(odd).columns and done.count() == 10
+    assert all(r[n] == n for r in done.collect() for n in INSIDE)
     assert templates.drop_lines(odd.limit(0)).count() == 0
 
 
+def test_emptied_documents_may_go(frame):
+    rng = np.random.default_rng(21)
+    own = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(30)) + "."
+    footer = "This page is brought to you by the friends of old maps."
+    docs = frame([(i, f"{own()}\n{footer}") for i in range(8)] + [(None, footer), (20, footer), (None, ""), (21, None)])
+    assert templates.drop_lines(docs).count() == 12
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in templates.drop_lines(docs, emptied=False).collect()) == [(False, i) for i in (*range(8), 21)] + [(True, 0)]
+
+
 def test_sketches_survive_edits():
     rng = np.random.default_rng(11)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
@@ -568,6 +641,11 @@ def test_one_of_each_group_stays(frame):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3, 9]
 
 
+def test_near_duplicates_carry_any_column(odd):
+    kept = simhash.drop_near_duplicates(clashing(odd))
+    assert kept.columns == clashing(odd).columns and all(r[n] == n for r in kept.collect() for n in INSIDE)
+
+
 def test_ids_do_not_part_or_join_documents(frame):
     rng = np.random.default_rng(14)
     a, b, c, d, e = (" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(40)) for _ in range(5))
