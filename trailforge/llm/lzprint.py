@@ -26,12 +26,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailforge.llm.common import cut, parts
 
 SLOTS = 64
+#: Bounds of ranges that are compared at a time.
+STEP = 64
 
 
 def parse(text: str, known: set | None = None, phrase: str = "") -> tuple[set, str]:
@@ -147,18 +149,29 @@ def _rows(batches):
             yield made
 
 
+def _bounds(ids: DataFrame, n: int) -> list:
+    """The least id of each of n ranges but the first, of ids of any type that has an order; n values at most."""
+    ranged = ids.filter(F.col("doc_id").isNotNull()).repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("least"))
+    return sorted(r["least"] for r in ranged.collect())[1:]
+
+
+def _place(id_: Column, bounds: list) -> Column:
+    """The number of bounds that an id is not below, found by every STEP-th bound and then within a step; null ids: 0."""
+    if not bounds:
+        return F.lit(0)
+    every = F.array(*[F.lit(b) for b in bounds])
+    step = F.size(F.filter(F.array(*[F.lit(b) for b in bounds[::STEP]]), lambda b: b <= id_))
+    inside = F.size(F.filter(F.slice(every, F.greatest(step - 1, F.lit(0)) * STEP + 1, STEP), lambda b: b <= id_))
+    return F.when(id_.isNull() | (step == 0), 0).otherwise((step - 1) * STEP + inside)
+
+
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     n = parts(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    # Ranges of about equal numbers of documents; their bounds are n numbers at most.
-    bounds = sorted(set(rows.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
-    place = F.lit(0)
-    if bounds:
-        place = F.coalesce(F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id").cast("double"))), F.lit(0))
-    rows = rows.withColumn("place", place)
+    rows = rows.withColumn("place", _place(F.col("doc_id"), _bounds(rows.select("doc_id"), n)))
     # The first document of each range (n at most), which closes the range before it; the very first closes the last one.
     firsts = cut(rows.groupBy("place").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).select("place", "first.doc_id"))
     closes = firsts.select("place", "doc_id", F.coalesce(F.lag("place").over(Window.orderBy("place")), F.max("place").over(Window.partitionBy())).alias("closed"))
