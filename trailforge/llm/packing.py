@@ -7,7 +7,7 @@ tightest fit is taken. Pieces of a full sequence's length need no choice.
 Pieces are dealt at random to groups of about GROUP, and each group is packed by
 one task, longest first. So the work is linear in the pieces and a group stays of one size
 whatever the corpus; the open sequences at a group's end are few beside the
-thousands that it fills. What they waste is measured in the README.
+thousands that it fills; the README has what they waste.
 
 Defined cases: a null text is the empty text and has the end id alone; pieces of
 one length are taken in the order of id and piece; repeated rows are packed each
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import cut
+from trailforge.llm.common import cut, parts
 from trailforge.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -125,7 +125,8 @@ def pack(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY, bla
     rest = every.filter(F.col("length") < capacity)
     groups = max(1, round(rest.count() / GROUP))
     rest = rest.withColumn("grp", F.pmod(F.xxhash64("nth"), F.lit(groups))).drop("nth")
-    dealt = rest.repartition(groups, "grp").sortWithinPartitions("grp", F.col("length").desc(), "doc_id", "piece")
+    # Beyond the session's own number of partitions, a hundred groups share one.
+    dealt = rest.repartition(min(groups, max(parts(docs.sparkSession), groups // 100)), "grp").sortWithinPartitions("grp", F.col("length").desc(), "doc_id", "piece")
     kind = docs.schema[id_col].dataType.simpleString()
     packed = dealt.mapInArrow(_packed(capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return full.unionByName(packed)
