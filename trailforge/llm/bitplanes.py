@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.llm.common import cut, parts
+from trailforge.llm.common import cut, parts_for
 from trailforge.llm.tokens import encoder
 
 MAGIC = b"TFPLANE1"
 BLOCK = 1 << 16
+#: Bytes of text whose ids go to a file, about, where the session's own number of partitions would make larger ones.
+SHARD = 1 << 29
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> np.ndarray:
@@ -167,7 +169,8 @@ def _writer(folder: str, path: str, end: int, bits: bool, kind: pa.DataType):
 def write_planes(docs: DataFrame, folder: str, path: str, end: int = 0, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write the ids of all documents in ascending id order; returns the manifest, a row a shard.
 
-    The manifest has as many rows as the session has shuffle partitions at most.
+    The manifest has a row for each shuffle partition of the session or, beyond
+    those, for each SHARD bytes of text.
     """
     kind = pa.from_numpy_dtype("int64") if docs.schema[id_col].dataType == T.LongType() else None
     if kind is None:
@@ -177,7 +180,7 @@ def write_planes(docs: DataFrame, folder: str, path: str, end: int = 0, bits: bo
     store, place = _store(folder)
     store.create_dir(place)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = rows.repartitionByRange(parts_for(rows, "text", SHARD), "doc_id").sortWithinPartitions("doc_id", "text")
     shards = cut(ranged.mapInArrow(_writer(folder, path, end, bits, kind), "part long, file string, n_docs long, n_ids long"))
     manifest, start = [], 0
     for row in shards.orderBy("part").collect():

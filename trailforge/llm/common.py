@@ -50,6 +50,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def parts_for(texts: DataFrame, text_col: str, size: int) -> int:
+    """The session's number of partitions, or so many that each has about ``size`` bytes of text."""
+    total = texts.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return max(parts(texts.sparkSession), -(-total // size))
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -38,12 +38,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import cut, parts
+from trailforge.llm.common import cut, parts_for
 
 DEPTH = 4
 END = 0xFF
 #: Bytes that are counted at a time, and scored.
 SLAB, SCORED = 4_000_000, 1_000_000
+#: Bytes of text in a bucket, about, where the session's own number of partitions would make larger ones.
+BUCKET = 1 << 27
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORDS = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
 
@@ -326,8 +328,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held"))
     tree, name = spark.sparkContext.broadcast((*learn(rows.filter(~F.col("held")), "text", depth, most), depth)), uuid.uuid4().hex
-    buckets = parts(spark)
-    salted = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)).cast("long")).repartition(buckets, "bucket")
+    buckets = parts_for(rows, "text", BUCKET)
+    salted = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition(buckets, "bucket")
     counts = salted.select("bucket", "text", "held").mapInArrow(_token_counts, "bucket long, h long, n long")
     counts = counts.groupBy("bucket", "h").agg(F.sum("n").alias("n"))
     # A row for each bucket at most in a token's window.
