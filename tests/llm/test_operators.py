@@ -341,6 +341,47 @@ def test_fingerprints_and_edits(frame, odd):
     assert lone.near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """Phrases one after another as the longest known one and a sign more; the least hash of each class by hand."""
+    phrases, i = [], 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i:j] in phrases:
+            j += 1
+        phrases.append(text[i:j])
+        i = j
+    least = [None] * 64
+    for p in set(phrases):
+        h = xxhash.xxh64(p.encode()).intdigest()
+        if least[h % 64] is None or h // 64 < least[h % 64]:
+            least[h % 64] = h // 64
+    if not phrases:
+        return "0000" * 64
+    out = []
+    for k in range(64):
+        away = next(d for d in range(64) if least[(k + d) % 64] is not None)
+        out.append((least[(k + away) % 64] + away * 0x9E3779B97F4A7C15) % 2**64 % 65535 + 1)
+    return "".join(f"{x:04x}" for x in out)
+
+
+def test_fingerprints_by_a_plain_parse():
+    rng = np.random.default_rng(23)
+    for text in ["", "a", "aaaaaaa", "abababab", "é𝔘é𝔘é", PROSE, *("".join(rng.choice(list("abc d"), int(rng.integers(1, 300)))) for _ in range(40))]:
+        assert lzprint.fingerprint(text) == plain_fingerprint(text), text
+
+
+def test_ids_of_any_type(spark):
+    texts = [f"text number {i} {'x' * i}" for i in range(90)]
+    docs = spark.createDataFrame([(f"k{i:03d}", t) for i, t in enumerate(texts)] + [(None, "none")], "doc_id string, text string")
+    got = {r.doc_id: r for r in lzprint.compare(docs).collect()}
+    chain = ["none", *texts]
+    for i, t in enumerate(chain):
+        r = got[None if i == 0 else f"k{i - 1:03d}"]
+        after = chain[(i + 1) % len(chain)]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert (r.fingerprint, r.edited_sha256) == (plain_fingerprint(t), hashlib.sha256(edited.encode()).hexdigest())
+
+
 def test_likeness_follows_shared_phrases():
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
@@ -529,6 +570,58 @@ def test_short_templates_have_variable_fields(frame):
     assert all(r["__dropped"] == 1 for r in templates.drop_lines(frame(rows)).collect())
 
 
+def brute_templates(texts):
+    """Which lines go, every text being a group of its own."""
+
+    def masked(line):
+        t = ["<*>" if re.search("[0-9]", x) else x for x in line.split()]
+        return tuple(t) if any(any(c.isalpha() for c in x) for x in t if x != "<*>") else None
+
+    leaf = lambda t: (len(t), t[:3])
+    has = {}
+    for i, text in enumerate(texts):
+        for line in text.split("\n"):
+            if (t := masked(line)) is not None:
+                has.setdefault(t, set()).add(i)
+    kinds = Counter((leaf(t), j, x) for t in has for j, x in enumerate(t))
+    shapes = {}
+    for t, docs in has.items():
+        fixed = tuple((j, x) for j, x in enumerate(t) if kinds[leaf(t), j, x] >= 5)
+        if len(t) >= 5 and len(fixed) >= 0.8 * len(t):
+            shapes.setdefault((leaf(t), fixed), []).append(t)
+    gone = {t for t, docs in has.items() if len(docs) >= 5}
+    for same in shapes.values():
+        if len(set().union(*(has[t] for t in same))) >= 5:
+            gone |= set(same)
+    return ["\n".join(x for x in text.split("\n") if masked(x) not in gone) for text in texts]
+
+
+def test_templates_by_brute_force(frame):
+    rng = np.random.default_rng(24)
+    word = lambda n=6: "".join(rng.choice(list("abcdefghij"), n))
+    few = [word() for _ in range(4)]
+    texts = []
+    for i in range(60):
+        lines = [" ".join(word() for _ in range(40)) + "."]
+        for _ in range(4):
+            kind = int(rng.integers(0, 7))
+            lines.append([f"Page {rng.integers(0, 99)} of our book", f"said {few[rng.integers(0, 4)]} to the man at {word()} gate", f"now {few[0]} {few[1]} {few[2]} and {word()} were told of it", f"{few[rng.integers(0, 4)]} {few[rng.integers(0, 4)]} {few[rng.integers(0, 4)]}", f"rare {word()}", "12 34", f"in the year {rng.integers(0, 9)} {few[rng.integers(0, 4)]} went {word()} or {few[3]} {word()}"][kind])
+        texts.append("\n".join(lines))
+    got = {r.doc_id: r.text for r in templates.drop_lines(frame(list(enumerate(texts)))).collect()}
+    want = brute_templates(texts)
+    assert [got[i] for i in range(60)] == want
+    assert any(w != t for w, t in zip(want, texts)) and any("rare" in w for w in want)
+
+
+def test_constant_tokens_are_met_by_a_join_too(frame, monkeypatch):
+    rng = np.random.default_rng(25)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+    docs = frame([(i, f"{' '.join(word() for _ in range(30))}.\nThis story was written by {word()}") for i in range(12)])
+    assert all(r["__dropped"] == 1 for r in templates.drop_lines(docs).collect())
+    monkeypatch.setattr(templates, "MANY", 0)
+    assert all(r["__dropped"] == 1 for r in templates.drop_lines(docs).collect())
+
+
 def test_one_document_is_one_voice(frame):
     text = "\n".join(f"Here the long path turns left at the house of {x}" for x in ("anna", "berta", "carla", "dora", "emma", "frida"))
     assert templates.drop_lines(frame([(1, text), (2, "Another text about other things.")])).filter("__dropped > 0").isEmpty()
