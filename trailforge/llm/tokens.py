@@ -11,25 +11,41 @@ text is encoded whole. Tests hold all this against the plain call.
 from __future__ import annotations
 
 import os
+import re
+from itertools import compress
 
 import numpy as np
 
-#: Pieces that the memo holds before it starts anew.
-MEMO = 800_000
-#: Characters of the texts that are taken at a time.
-SLAB = 2_000_000
+#: Bytes that the memo takes, about, before it forgets rare pieces; bytes of a piece besides its letters and ids.
+MEMO, PIECE = 120_000_000, 200
+#: Characters of the texts that are taken at a time, and pieces that are encoded in one call.
+SLAB, CALL = 1_000_000, 10_000
 #: Marks before pieces: a stop or comma, a line feed, and what follows one. Texts that have them are encoded whole.
 STOP, FEED, AFTER = "\x02", "\x03", "\x04"
 MARKS = ("\x01", STOP, FEED, AFTER)
 #: What is known of a piece. TIED is the lowest, so that it is over WORD only where that is missing.
 TIED, WORD, OPEN = 1, 2, 4
+#: Pieces that may share a call: no white space but a leading blank, and no mark.
+_SHARES = re.compile(r" ?[^\s\x01]+").fullmatch
+#: Words of letters that stay one piece, and letters, whatever a file's normalizer and pre-tokenizer do.
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+
+
+def _byte_signs() -> str:
+    """The sign that stands for each byte in byte-level files: itself where it is visible in Latin-1, else the next from U+0100 on."""
+    seen = [33 <= b < 127 or 161 <= b < 173 or b > 173 for b in range(256)]
+    return "".join(chr(b) if seen[b] else chr(256 + seen[:b].count(False)) for b in range(256))
+
+
+_SIGNS = _byte_signs()
+_BLANK, _FEED = _SIGNS[32], _SIGNS[10]
 
 
 class _Memo(dict):
     """Piece to number; an unknown piece gets the next number and is noted."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, known=()):
+        super().__init__(zip(known, range(len(known))))
         self.fresh: list[str] = []
 
     def __missing__(self, piece):
@@ -39,7 +55,11 @@ class _Memo(dict):
 
 
 class Encoder:
-    """ids of texts; blank_leads: a blank belongs to the word that it leads (byte-level files), else it is dropped."""
+    """ids of texts; blank_leads: a blank belongs to the word that it leads (byte-level files), else it is dropped.
+
+    memo: the bytes that known pieces may take, about. Beyond them the encoder
+    forgets the pieces that it met once, and as many others as must go.
+    """
 
     def __init__(self, path: str, blank_leads: bool, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,18 +71,58 @@ class Encoder:
         self.between = "\n" if blank_leads else " \x01 "
         mark = self._plain(self.between)
         self.mark = int(mark[0]) if len(mark) == 1 else None
-        self._forget()
+        # The file's model alone, for words of letters: spelled in the signs of their bytes, they need no more.
+        from tokenizers import pre_tokenizers
+
+        self.lowers = self._plain("A").tolist() == self._plain("a").tolist()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = ["Abc", "\xe9t\xe9", "Stra\xdfe", "\xc9OL"]
+        feed = self.model.encode(_FEED, add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        if self.feed is not None and any(self._words([w])[0].tolist() != self._plain(" " + w if blank_leads else w).tolist() for w in probe):
+            self.feed = None
+        self._start([], np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint8))
 
     def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters, with marks between them, and where each word ends."""
+        lead = _BLANK if self.blank_leads else ""
+        text = "\n".join(words)
+        text = (text.lower() if self.lowers else text).encode().decode("latin-1").translate(_SIGNS)
+        ids = np.array(self.model.encode_batch_fast([lead + text.replace(_FEED, f" {_FEED} {lead}")], add_special_tokens=False)[0].ids, np.uint32)
+        return ids, np.append(np.flatnonzero(ids == self.feed), len(ids))
+
+    def _start(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray, bits: np.ndarray):
+        """Know these pieces and no other."""
+        self.memo, self.letters = _Memo(pieces), sum(map(len, pieces))
+        n, self.used = len(pieces), len(ids)
+        room = max(1 << 14, 2 * n)
+        self.flat = np.empty(max(1 << 16, 2 * len(ids)), np.uint32)
+        self.flat[: len(ids)] = ids
+        self.start, self.length, self.met = (np.zeros(room, np.int32) for _ in range(3))
+        # Bits: no blank may follow the piece (OPEN); it ends as a word does (WORD); it must follow a word (TIED).
+        self.bits = np.zeros(room, np.uint8)
+        self.start[:n], self.length[:n], self.bits[:n] = np.cumsum(sizes) - sizes, sizes, bits
+
+    def _size(self) -> int:
+        return PIECE * len(self.memo) + 2 * self.letters + 4 * self.used
 
     def _forget(self):
-        self.memo = _Memo()
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-        # Bits: no blank may follow the piece (OPEN); it ends as a word does (WORD); it must follow a word (TIED).
-        self.bits = np.zeros(1 << 14, np.uint8)
+        n = len(self.memo)
+        kept = np.flatnonzero(self.met[:n] > 1)
+        if len(kept) > n // 2:
+            kept = np.sort(kept[np.argsort(self.met[kept], kind="stable")[len(kept) - n // 2 :]])
+        every = list(self.memo)
+        self._start([every[k] for k in kept.tolist()], self.length[kept], self._gather(kept), self.bits[kept])
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of some pieces, one after another."""
+        sizes = self.length[at].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])] if len(at) else np.empty(0, np.uint32)
 
     def _spelled(self, piece: str) -> str:
         if piece[:1] == STOP or piece[:1] == AFTER:
@@ -74,34 +134,35 @@ class Encoder:
     def _learn(self):
         """Encode the pieces noted since the last call."""
         fresh, self.memo.fresh = self.memo.fresh, []
-        if not fresh:
-            return
         n = len(self.memo)
         while len(self.start) < n:
-            self.start, self.length, self.bits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.bits))
-        base = n - len(fresh)
-        spelled = [self._spelled(p) for p in fresh]
-        # Pieces with white space inside, or none of their own, are encoded each for itself.
-        alone = [k for k, s in enumerate(spelled) if self.mark is None or not s.strip() or "\x01" in s or len(s.split()) > 1 or s[-1].isspace() or (s[0].isspace() and (s[0] != " " or s[1].isspace()))]
-        lone = set(alone)
-        joined = [k for k in range(len(spelled)) if k not in lone] if lone else range(len(spelled))
-        for i in range(0, len(joined), 20_000):
-            some = joined[i : i + 20_000]
-            ids = self._plain(self.between.join([spelled[k] for k in some]))
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(ends) != len(some):
-                alone.extend(some)
-                continue
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            at = base + np.fromiter(some, np.int64, len(some))
-            self.start[at], self.length[at] = self.used + starts, ends - starts
-            self._store(ids)
-        for k in alone:
-            ids = self._plain(spelled[k])
-            self.start[base + k], self.length[base + k] = self.used, len(ids)
-            self._store(ids)
-        bits = []
-        for p, s in zip(fresh, spelled):
+            self.start, self.length, self.met, self.bits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.met, self.bits))
+        self.letters += sum(map(len, fresh))
+        for k in range(0, len(fresh), CALL):
+            self._learn_some(fresh[k : k + CALL], n - len(fresh) + k)
+
+    def _learn_some(self, fresh: list[str], base: int):
+        """Encode some pieces, whose numbers count from base."""
+        letters = np.fromiter((m is not None for m in map(_LETTERS, fresh)), bool, len(fresh))
+        if self.feed is None:
+            letters[:] = False
+        if letters.any():
+            ids, ends = self._words(list(compress(fresh, letters.tolist())))
+            if not self._found(base + np.flatnonzero(letters), ids, ends):
+                letters[:] = False
+        self.bits[base : base + len(fresh)] = WORD
+        rest = np.flatnonzero(~letters).tolist()
+        spelled = [self._spelled(fresh[k]) for k in rest]
+        shares = [self.mark is not None and _SHARES(s) is not None for s in spelled]
+        if any(shares):
+            ids = self._plain(self.between.join(compress(spelled, shares)))
+            if not self._found(base + np.array(list(compress(rest, shares))), ids, np.append(np.flatnonzero(ids == self.mark), len(ids))):
+                shares = [False] * len(rest)
+        for k, s, shared in zip(rest, spelled, shares):
+            p = fresh[k]
+            if not shared:
+                ids = self._plain(s)
+                self._found(np.array([base + k]), ids, np.array([len(ids)]))
             x = WORD if p[-1:].isalnum() else 0
             if p[:1] == STOP:
                 x |= TIED
@@ -109,8 +170,16 @@ class Encoder:
                 x |= OPEN
             if p[:1] == AFTER and self.blank_leads and s[:1].isspace():
                 x |= TIED  # after a line feed, so it never follows a word: the text is encoded whole
-            bits.append(x)
-        self.bits[base:n] = bits
+            self.bits[base + k] = x
+
+    def _found(self, at: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> bool:
+        """Keep the ids of the pieces at some numbers, if each has an end."""
+        if len(ends) != len(at):
+            return False
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        self.start[at], self.length[at] = self.used + starts, ends - starts
+        self._store(ids)
+        return True
 
     def _store(self, ids: np.ndarray):
         while self.used + len(ids) > len(self.flat):
@@ -133,9 +202,7 @@ class Encoder:
         bits = None if at is None else self.bits[at]
         if bits is None or (bits[1:-1] & OPEN).any() or ((bits[1:] & TIED) > (bits[:-1] & WORD)).any() or bits[0] & TIED:
             return self._plain(text)
-        sizes = self.length[at]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return self._gather(at)
 
     def encode_all(self, texts):
         """The ids (uint32) of one text after another; null is the empty text."""
@@ -149,10 +216,14 @@ class Encoder:
         yield from self._slab(some)
 
     def _slab(self, texts):
-        if len(self.memo) > self.limit:
+        if self._size() > self.limit:
             self._forget()
         numbers = [self._numbers(t) if t else None for t in texts]
         self._learn()
+        known = [at for at in numbers if at is not None]
+        if known:
+            n = len(self.memo)
+            self.met[:n] += np.bincount(np.concatenate(known), minlength=n).astype(np.int32)
         for text, at in zip(texts, numbers):
             yield self._ids(text, at)
 
