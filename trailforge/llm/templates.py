@@ -19,7 +19,7 @@ the document, or scattered ones that are SCATTERED of it.
 Counts, leaves and templates are aggregates by hash with partial sums; a
 template's identity is a sum of hashes of its constant tokens, so no leaf is ever
 gathered in a task. The documents meet the lines that they lose by one join on
-the id; nothing is broadcast.
+the id. What is broadcast are numbers, MANY at most, beside which a join stands.
 
 Defined cases: a null text counts as empty and stays as it is (null); lines
 without a token are kept and not counted; a line whose template has no constant
@@ -247,7 +247,7 @@ def groups(per: DataFrame, few: int = FEW) -> DataFrame:
     return own.select("key").join(linked, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("voice"))
 
 
-#: Leaves that are sent to all executors at most; more are met by a join.
+#: Leaves, and constant tokens of leaves, that are sent to all executors at most (8 bytes each); more are met by a join, with the same result.
 MANY = 1_000_000
 
 
@@ -264,13 +264,30 @@ def generalised(text: DataFrame, leaves: DataFrame, said: DataFrame, few: int) -
         rows = text.mapInArrow(_tokens(None), "leaf long, th long, j int, tok long, n int").join(leaves, "leaf", "left_semi")
     rows = cut(rows.distinct())
     counts = rows.groupBy("leaf", "j", "tok").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= few)
-    constant = rows.join(counts, ["leaf", "j", "tok"], "left_semi").withColumn("h", F.shiftright(F.xxhash64("j", "tok"), 20))
+    keyed = rows.select("leaf", "th", "n", F.shiftright(F.xxhash64("j", "tok"), 20).alias("h"), F.xxhash64("leaf", "j", "tok").alias("k"))
+    keys = cut(counts.select(F.xxhash64("leaf", "j", "tok").alias("k")))
+    if keys.count() <= MANY:
+        constant = keyed.mapInArrow(_among(sc.broadcast(np.sort(_unsigned(keys).view(np.int64)))), keyed.schema)
+    else:
+        constant = keyed.join(keys, "k", "left_semi")
     shapes = constant.groupBy("leaf", "th", "n").agg(F.sum("h").alias("shape"), F.count(F.lit(1)).alias("fixed")).filter(F.col("fixed") >= LIKE * F.col("n"))
     voices = shapes.join(said, ["leaf", "th"]).select("leaf", "shape", "voice").distinct()
     often = voices.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("voices")).filter(F.col("voices") >= few)
     return shapes.join(often, ["leaf", "shape"], "left_semi").select("th")
 
 
+def _among(shared):
+    """The rows whose last column, a number, is one of the shared ones, which ascend."""
+
+    def rows(batches):
+        for batch in batches:
+            k = batch.column(batch.num_columns - 1).to_numpy()
+            at = np.minimum(np.searchsorted(shared.value, k), max(0, len(shared.value) - 1))
+            yield batch.filter(pa.array(shared.value[at] == k if len(shared.value) else np.zeros(len(k), bool)))
+
+    return rows
+
+
 def _unsigned(leaves: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in leaves.collect()], np.int64).view(np.uint64)
 
