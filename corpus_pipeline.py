@@ -18,10 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go whose template recurs across documents; a document left without any word goes."""
-    from pyspark.sql import functions as F
-
-    kept = templates.drop_lines(docs)
-    return kept.filter((F.col("__dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return templates.drop_lines(docs, counts=None, emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
