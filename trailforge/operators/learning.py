@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trailforge.functions import geometry as G
 from trailforge.operators.costs import feature_table, features
+from trailforge.operators.lineage import settled
 
 
 def block_cells(edges: DataFrame, cell_m: float = 1000.0) -> DataFrame:
@@ -47,7 +48,8 @@ def split_groups(groups: list[str], seed: int = 42) -> dict[str, str]:
 def spatial_split(edges: DataFrame, eligible: DataFrame, cell_m: float = 1000.0, seed: int = 42) -> DataFrame:
     """edge_id and part: train, validation, test, or outside for edges that are not eligible (a table of edge_id).
 
-    Blocks are formed of all edges before those are set aside.
+    Blocks are formed of all edges before those are set aside. The driver draws
+    them, a name a cell of the area.
     """
     blocks = block_cells(edges, cell_m).join(eligible.select("edge_id", F.lit(True).alias("__in")), "edge_id", "left")
     names = [r[0] for r in blocks.filter("__in").select("block").distinct().collect()]
@@ -58,11 +60,17 @@ def spatial_split(edges: DataFrame, eligible: DataFrame, cell_m: float = 1000.0,
 def rank_pct(df: DataFrame, value: str, to: str = "rank_pct") -> DataFrame:
     """The rank of a value among all, ties by their mean, as a share of the count.
 
-    Distinct values are counted first, so the order is over them alone.
+    Distinct values are counted first. Ranges of them are summed side by side;
+    only the ranges' sums, one a partition, are ordered in one task.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("__v", ((before + (F.col("n") + 1) / 2) / F.sum("n").over(Window.partitionBy())).alias(to))
+    ranged = settled(counts.repartitionByRange("__v").withColumn("__p", F.spark_partition_id()))
+    sums = ranged.groupBy("__p").agg(F.sum("n").alias("s"))
+    ahead = F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("__p").alias("__q"), ahead.alias("ahead"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = ranged.withColumn("inside", inside).join(F.broadcast(sums), F.col("__p") == F.col("__q"))
+    ranks = ranks.select("__v", ((F.col("ahead") + F.col("inside") + (F.col("n") + 1) / 2) / F.col("total")).alias(to))
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 

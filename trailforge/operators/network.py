@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailforge.functions import geometry as G
 from trailforge.functions import tags
+from trailforge.operators.lineage import settled
 
 LINE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 #: The columns of an edge table, in order.
@@ -103,7 +106,8 @@ def with_edge_id(edges: DataFrame) -> DataFrame:
     are a sum over as many counts as there are partitions.
     """
     ranged = edges.repartitionByRange("u", "v", "key").sortWithinPartitions("u", "v", "key").withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)}).persist()
+    # Settled, as rows of a lost range might be numbered anew otherwise.
+    ranged = settled(ranged.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)}))
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
@@ -164,21 +168,18 @@ def predecessors(edges: DataFrame, node: int) -> DataFrame:
     return edges.filter(F.col("v") == node).select(F.col("u").alias("node")).distinct()
 
 
-def _settled(labels: DataFrame) -> DataFrame:
-    """A cut of the lineage: a checkpoint where the session has a folder for it, else a cached table."""
-    if labels.sparkSession.sparkContext.getCheckpointDir():
-        return labels.checkpoint()
-    labels = labels.persist()
-    labels.count()
-    return labels
+#: Arcs that a label passes between two looks at whether any label still moves.
+HOPS = 4
 
 
 def _spread(labels: DataFrame, arcs: DataFrame, rounds: int) -> DataFrame:
-    """The least label that reaches each node along arcs (a to b), by doubling: labels, then labels of labels."""
+    """The least label that reaches each node along arcs (a to b), HOPS arcs a round."""
     for _ in range(rounds):
-        sent = arcs.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
-        new = labels.join(sent, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        new = _settled(new)
+        new = labels.withColumn("old", F.col("label"))
+        for _ in range(HOPS):
+            sent = arcs.join(new, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
+            new = new.join(sent, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), "old")
+        new = settled(new)
         if new.filter("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -188,14 +189,14 @@ def _spread(labels: DataFrame, arcs: DataFrame, rounds: int) -> DataFrame:
 def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the least node of the weakly connected component, by alternating stars of minima."""
     links = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).filter("a <> b").distinct()
-    links = _settled(links)
+    links = settled(links)
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b")
-        new = _settled(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        new = settled(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         done = new.count() == links.count() and new.exceptAll(links).isEmpty()
         links = new
         if done:
@@ -206,38 +207,132 @@ def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return endpoints(edges).join(top, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def strong_components(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+#: Arcs (16 bytes each) that one task may hold at most; larger graphs go on by joins, with the same result.
+SMALL = 2_000_000
+
+
+def _rows_of(starts: np.ndarray, k: int) -> range:
+    return range(int(starts[k]), int(starts[k + 1]))
+
+
+def _adjacent(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The nodes, ascending, and the arcs by their start: where each node's begin, and where they lead."""
+    nodes = np.unique(np.concatenate([a, b]))
+    order = np.argsort(a, kind="stable")
+    return nodes, np.searchsorted(a[order], np.append(nodes, nodes[-1] + 1 if len(nodes) else 0)), np.searchsorted(nodes, b[order]).tolist()
+
+
+def _strong(frames):
+    """Rows (node, component) of a whole graph of few arcs, by one depth-first walk with its own stack."""
+    whole = pd.concat(list(frames), ignore_index=True)
+    nodes, starts, to = _adjacent(whole.a.to_numpy(), whole.b.to_numpy())
+    n = len(nodes)
+    found, low, label = [0] * n, [0] * n, [-1] * n
+    count, open_ = 0, []
+    for root in range(n):
+        if found[root]:
+            continue
+        walk = [(root, iter(_rows_of(starts, root)))]
+        count += 1
+        found[root] = low[root] = count
+        open_.append(root)
+        while walk:
+            s, arcs = walk[-1]
+            k = next(arcs, None)
+            if k is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[s])
+                if low[s] == found[s]:
+                    members = [open_.pop()]
+                    while members[-1] != s:
+                        members.append(open_.pop())
+                    least = min(members)
+                    for x in members:
+                        label[x] = least
+                continue
+            t = to[k]
+            if not found[t]:
+                count += 1
+                found[t] = low[t] = count
+                open_.append(t)
+                walk.append((t, iter(_rows_of(starts, t))))
+            elif label[t] < 0:
+                low[s] = min(low[s], found[t])
+    yield pd.DataFrame({"node": nodes, "component": nodes[np.array(label, np.int64)] if n else nodes})
+
+
+def strong_components(edges: DataFrame, rounds: int = 10_000, small: int = SMALL) -> DataFrame:
     """(node, component): the least node of the strongly connected component.
 
-    Every node's colour is the least node that reaches it; a colour's component
+    A graph of ``small`` arcs or less is walked by one task. In a larger one
+    every node's colour is the least node that reaches it; a colour's component
     is what of it reaches back to that node. What is left is coloured anew.
     """
-    arcs = _settled(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct())
-    rest = _settled(endpoints(edges))
+    arcs = settled(edges.select(F.col("u").cast("long").alias("a"), F.col("v").cast("long").alias("b")).distinct())
+    n = arcs.count()
+    if 0 < n <= small:
+        return arcs.coalesce(1).mapInPandas(_strong, "node long, component long")
+    arcs = arcs.filter("a <> b")
+    rest = settled(endpoints(edges))
     found = None
     while not rest.isEmpty():
         colour = _spread(rest.withColumn("label", F.col("node")), arcs, rounds)
         same = arcs.join(colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b").filter("ca = cb")
         # Back from each root within its colour.
-        back = _settled(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        back = settled(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
         mark = colour.withColumn("root", F.col("label")).withColumn("label", F.when(F.col("node") == F.col("label"), 0).otherwise(1)).select("node", "label")
         reached = _spread(mark, back, rounds).filter("label = 0").select("node")
-        part = _settled(reached.join(colour, "node").select("node", F.col("label").alias("component")))
+        part = settled(reached.join(colour, "node").select("node", F.col("label").alias("component")))
         found = part if found is None else found.unionByName(part)
-        rest = _settled(rest.join(part.select("node"), "node", "left_anti"))
-        arcs = _settled(arcs.join(rest.select(F.col("node").alias("a")), "a").join(rest.select(F.col("node").alias("b")), "b").select("a", "b"))
+        rest = settled(rest.join(part.select("node"), "node", "left_anti"))
+        arcs = settled(arcs.join(rest.select(F.col("node").alias("a")), "a").join(rest.select(F.col("node").alias("b")), "b").select("a", "b"))
     return found if found is not None else rest.withColumn("component", F.col("node"))
 
 
-def bfs_hops(edges: DataFrame, sources: DataFrame, most: int = 10_000) -> DataFrame:
-    """(source, node, hops): least numbers of edges from each source (column source), by frontier joins."""
-    arcs = _settled(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct())
-    seen = _settled(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")).join(endpoints(edges), "node", "left_semi").distinct())
+def _hops(frames, shared):
+    nodes, starts, to = shared.value
+    for frame in frames:
+        for source in frame.source:
+            k = int(np.searchsorted(nodes, source))
+            if k == len(nodes) or nodes[k] != source:
+                continue
+            hops, front = {k: 0}, [k]
+            while front:
+                new = []
+                for s in front:
+                    for t in to[starts[s] : starts[s + 1]]:
+                        if t not in hops:
+                            hops[t] = hops[s] + 1
+                            new.append(t)
+                front = new
+            at = np.fromiter(hops, np.int64, len(hops))
+            yield pd.DataFrame({"source": np.int64(source), "node": nodes[at], "hops": np.fromiter(hops.values(), np.int32, len(hops))})
+
+
+def bfs_hops(edges: DataFrame, sources: DataFrame, most: int = 10_000, small: int = SMALL) -> DataFrame:
+    """(source, node, hops): least numbers of edges from each source (column source).
+
+    A graph of ``small`` arcs or less is sent to all executors, which share the
+    sources; in a larger one the frontiers meet the arcs by joins.
+    """
+    arcs = settled(edges.select(F.col("u").cast("long").alias("a"), F.col("v").cast("long").alias("b")).distinct())
+    if 0 < arcs.count() <= small:
+        spark = edges.sparkSession
+        table = arcs.toPandas()
+        shared = spark.sparkContext.broadcast(_adjacent(table.a.to_numpy(), table.b.to_numpy()))
+        asked = sources.select(F.col("source").cast("long").alias("source")).distinct()
+        n = max(1, min(asked.count(), 4 * spark.sparkContext.defaultParallelism))
+        return asked.repartition(n).mapInPandas(lambda frames: _hops(frames, shared), "source long, node long, hops int")
+    arcs = arcs.filter("a <> b")
+    seen = settled(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")).join(endpoints(edges), "node", "left_semi").distinct())
     front = seen
     for k in range(1, most + 1):
         step = front.join(arcs, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct()
-        front = _settled(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(k)))
+        front = settled(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             return seen
-        seen = _settled(seen.unionByName(front))
+        seen = seen.unionByName(front)
+        if k % 20 == 0:
+            seen = settled(seen)
     raise RuntimeError(f"a node lies over {most} edges away")

@@ -136,4 +136,48 @@ def simplify(tolerance: float = 6.0):
     return run
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "Window", "F", "G", "annotations", "filled", "has_any")]
+def completed(edges: DataFrame, own: DataFrame, base: list[str], id_col: str = "edge_id") -> DataFrame:
+    """A caller's features (id and columns) with the base columns of the edges that it lacks; its own columns go first where both have one."""
+    more = [c for c in own.columns if c != id_col]
+    left = edges.select(id_col, *[c for c in base if c not in more and c != id_col])
+    return left.join(own, id_col, "left").select(id_col, *[c for c in base if c not in more and c != id_col], *more)
+
+
+def layers(edges: DataFrame, masks: dict[str, tuple[Column, str]], radius: float = 3.0) -> DataFrame:
+    """A row a layer: layer, colour, radius, count and json, its edges' ids ascending; masks: name to (mask, colour)."""
+    rows = F.explode(F.filter(F.array(*[F.when(F.coalesce(mask, F.lit(False)), F.struct(F.lit(name).alias("layer"), F.lit(colour).alias("colour"))) for name, (mask, colour) in masks.items()]), lambda x: x.isNotNull()))
+    met = edges.select("edge_id", rows.alias("l")).groupBy("l.layer").agg(F.count(F.lit(1)).alias("n"), F.to_json(F.array_sort(F.collect_list("edge_id"))).alias("json"))
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("layer"), F.lit(colour).alias("colour")) for name, (_, colour) in masks.items()]))
+    every = edges.sparkSession.range(1).select(named.alias("l")).select("l.*")
+    return every.join(met, "layer", "left").select("layer", "colour", F.lit(float(radius)).alias("radius"), F.coalesce("n", F.lit(0)).alias("count"), F.coalesce("json", F.lit("[]")).alias("json"))
+
+
+def explorer(edges: DataFrame, routes: DataFrame, masks: dict[str, tuple[Column, str]], numbers: list[str], categories: list[str]) -> DataFrame:
+    """All that a map shows, a row a part: section (edges, routes, layers, domains), name and json.
+
+    ValueError if a route passes an edge that the network lacks.
+    """
+    steps = routes.select("algorithm", "od_id", F.posexplode("edge_route").alias("pos", "s")).select("algorithm", "od_id", "pos", "s.edge_id")
+    if not steps.join(edges.select("edge_id"), "edge_id", "left_anti").isEmpty():
+        raise ValueError("a route leaves the network")
+    escaped = lambda c: F.replace(c, F.lit("<"), F.lit("\\u003c"))
+    part = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), escaped(value).alias("json"))
+    lines = routes.withColumn("edges", F.transform("edge_route", lambda e: e["edge_id"]))
+    out = part(payload(edges), "edges", F.col("edge_id"), F.col("json"))
+    out = out.unionByName(part(lines, "routes", F.concat_ws(":", "algorithm", "od_id"), F.to_json(F.struct("algorithm", "od_id", "edges", "route_length_m"))))
+    shown = layers(edges, masks)
+    out = out.unionByName(part(shown, "layers", F.col("layer"), F.to_json(F.struct("layer", "colour", "radius", "count", F.from_json("json", "array<long>").alias("edges")))))
+    domains = feature_domains(edges, numbers, categories).groupBy("feature").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("code", "value")))), lambda x: x["value"]).alias("values"))
+    return out.unionByName(part(domains, "domains", F.col("feature"), F.to_json(F.struct("feature", "least", "most", "values"))))
+
+
+def pair_labels(routes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Where to write a pair's label: od_id, label (its last two signs), x and y of the middle of its route."""
+    steps = routes.select("od_id", F.posexplode("edge_route").alias("pos", "s")).select("od_id", "pos", "s.edge_id")
+    line = F.col("geometry") if "geometry" in edges.columns else F.array(G.point("x0", "y0"), G.point("x1", "y1"))
+    own = steps.join(edges.select("edge_id", line.alias("line")), "edge_id").withColumn("m", G.polyline_length("line"))
+    w = Window.partitionBy("od_id")
+    own = own.withColumns({"done": F.coalesce(F.sum("m").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "half": F.sum("m").over(w) / 2})
+    at = own.filter(F.col("done") + F.col("m") >= F.col("half")).groupBy("od_id").agg(F.min(F.struct("pos", "line", "m", "done", "half")).alias("b"))
+    share = F.when(F.col("b.m") > 0, (F.col("b.half") - F.col("b.done")) / F.col("b.m")).otherwise(0.0)
+    return at.withColumn("p", G.interpolate(F.col("b.line"), share)).select("od_id", F.right("od_id", F.lit(2)).alias("label"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))

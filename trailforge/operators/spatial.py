@@ -90,13 +90,24 @@ def focus_point(edges: DataFrame, points: DataFrame, radius: float) -> DataFrame
     return counted.orderBy("neighbours", "point_id").limit(1)
 
 
+def nearby(edges: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """The close-up's edges: edge_id and distance of those at most radius from the focus point, with its point_id."""
+    chosen = points.join(focus_point(edges, points, radius).select("point_id"), "point_id", "left_semi")
+    return near_pairs(edges, chosen, radius).select("point_id", "edge_id", "distance")
+
+
 def snap(points: DataFrame, edges: DataFrame, nodes: DataFrame, most: float) -> DataFrame:
     """Each point's nearest node that an edge has (smallest id of several), at most so far away: point_id, node, distance.
 
-    points are few (the ends of a query); nodes may be many: one pass over them.
+    Nodes lie in cells of that side; points look into their own and the eight
+    around it.
     """
-    used = nodes.join(endpoints(edges), "node", "left_semi")
-    near = used.join(F.broadcast(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))), (F.abs(F.col("x") - F.col("px")) <= most) & (F.abs(F.col("y") - F.col("py")) <= most))
+    size = max(most, 1.0)
+    used = nodes.join(endpoints(edges), "node", "left_semi").select("node", "x", "y", _cell(F.col("x"), size).alias("gx"), _cell(F.col("y"), size).alias("gy"))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    asked = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    asked = asked.select("point_id", "px", "py", (_cell(F.col("px"), size) + F.col("dx")).alias("gx"), (_cell(F.col("py"), size) + F.col("dy")).alias("gy"))
+    near = used.join(asked, ["gx", "gy"])
     near = near.withColumn("distance", G.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("distance") <= most)
     best = near.groupBy("point_id").agg(F.min(F.struct("distance", "node")).alias("b"))
     return best.select("point_id", F.col("b.node").alias("node"), F.col("b.distance").alias("distance"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rules:
-    """Bounds (lon and lat), the fastest speed, the gap above which speed is not judged, the longest step, the shortest."""
+    """Bounds (lon and lat), the fastest speed, the gap above which speed is not judged, the longest step, the shortest."""
 
     bounds: tuple[float, float, float, float] = (29.40, 59.55, 30.90, 60.35)
     max_speed_kmh: float = 80.0

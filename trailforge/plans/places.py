@@ -8,7 +8,8 @@ from trailforge.functions import geometry as G
 from trailforge.operators import network, spatial, tracks
 from trailforge.plans.catalog import query
 from trailforge.plans.relations import _rounded, walks
-from trailforge.plans.testnet import Net, table, with_net
+from trailforge.plans.testnet import Net, shared, table, with_net
+from trailforge.sources import gpx
 
 #: An edge's distance from a point, in SQL.
 _DIST = """CASE WHEN (x1-x0)*(x1-x0)+(y1-y0)*(y1-y0) = 0 THEN sqrt((px-x0)*(px-x0)+(py-y0)*(py-y0)) ELSE
@@ -36,11 +37,11 @@ def q_focus_point(spark, sf_dir):
 
 
 @query(with_net(""", u AS (SELECT node, x, y FROM net_nodes WHERE node IN (SELECT u FROM net_edges UNION SELECT v FROM net_edges)),
-d AS (SELECT p.point_id, u.node, sqrt((u.x-p.x)*(u.x-p.x)+(u.y-p.y)*(u.y-p.y)) AS distance FROM net_points p, u WHERE p.point_id < 2)
+d AS (SELECT p.point_id, u.node, sqrt((u.x-p.x)*(u.x-p.x)+(u.y-p.y)*(u.y-p.y)) AS distance FROM net_points p, u)
 SELECT point_id, node, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, node) AS k FROM d WHERE distance <= 500) x WHERE k = 1"""))
 def q_snap_nearest(spark, sf_dir):
     net = Net(spark, sf_dir)
-    return _rounded(spatial.snap(net.points.filter("point_id < 2"), net.edges, net.nodes, 500.0), "distance")
+    return _rounded(spatial.snap(net.points, net.edges, net.nodes, 500.0), "distance")
 
 
 @query(with_net("SELECT min(least(x0, x1)) - 50 AS xmin, min(least(y0, y1)) - 50 AS ymin, max(greatest(x0, x1)) + 50 AS xmax, max(greatest(y0, y1)) + 50 AS ymax FROM net_edges"))
@@ -115,7 +116,16 @@ def _kept(spark, sf_dir):
 
 @query(with_net("""SELECT track_id, CAST(seq AS BIGINT) AS seq, x, y, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM net_tracks"""))
 def q_gpx_points(spark, sf_dir):
-    return Net(spark, sf_dir).tracks.select("track_id", F.col("seq").cast("long").alias("seq"), "x", "y", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    """The tracks are written as GPX, a track by its name, and read again; their places there count from 0."""
+    place = shared(spark, "gpx")
+    sign = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    time = sign("time", F.concat(F.date_format(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+    point = F.concat(F.lit('<trkpt lat="'), F.col("y").cast("string"), F.lit('" lon="'), F.col("x").cast("string"), F.lit('">'), time, F.lit("</trkpt>"))
+    rows = Net(spark, sf_dir).tracks.groupBy("track_id", F.floor(F.col("track_id") / 100).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))), lambda x: x["p"]), "").alias("p"))
+    # A file is one document, of a hundred tracks at most.
+    trk = sign("trk", F.concat(sign("name", F.col("track_id").cast("string")), sign("trkseg", F.col("p"))))
+    rows.groupBy("file").agg(sign("gpx", F.array_join(F.collect_list(trk), "")).alias("value")).write.partitionBy("file").text(place)
+    return gpx.read_gpx(spark, place).select(F.col("name").cast("long").alias("track_id"), (F.col("seq") + 1).alias("seq"), "x", "y", "t")
 
 
 @query(with_net(""", q AS (SELECT track_id, CAST(seq AS BIGINT) AS seq, x, y, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM net_tracks),
@@ -149,9 +159,13 @@ def q_gpx_table(spark, sf_dir):
 
 @query(with_net("SELECT point_id, type FROM net_points WHERE type = 'water'"))
 def q_poi_catalog(spark, sf_dir):
-    from trailforge.sources.points import by_category
+    """The points are saved as a catalogue, which is loaded again."""
+    from trailforge.sources.points import by_category, load_catalog, save_catalog
 
-    return by_category(Net(spark, sf_dir).points, ["water"]).select("point_id", "type")
+    place = shared(spark, "catalogue")
+    save_catalog(Net(spark, sf_dir).points, place, ["signals", "parking", "water"], "test")
+    points, _ = load_catalog(spark, place)
+    return by_category(points, ["water"]).select("point_id", "type")
 
 
 _POI = {"music": {"kind": ["view", "click"]}, "shop": {"kind": ["purchase", "click"], "k": ["7"]}}
@@ -169,22 +183,21 @@ def q_poi_classify(spark, sf_dir):
 
 @query("SELECT page_id, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS DOUBLE) AS lon, coalesce(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS DOUBLE) BETWEEN -180 AND 180, FALSE) AS valid FROM pages")
 def q_points_csv_valid(spark, sf_dir):
-    from trailforge.sources.points import checked_lonlat
+    """The numbers in the pages' addresses are written as CSV and scanned."""
+    from trailforge.sources.points import checked_lonlat, scan_csv
 
-    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).alias("lon"), F.lit("45.5").alias("lat"))
-    return checked_lonlat(rows).select("page_id", "lon", "valid")
+    place = shared(spark, "csv")
+    table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).alias("lon"), F.lit("45.5").alias("lat")).write.csv(place, header=True)
+    return checked_lonlat(scan_csv(spark, place)).select(F.col("page_id").cast("long").alias("page_id"), "lon", "valid")
 
 
 @query(with_net("SELECT row_number() OVER (ORDER BY u, v, key) - 1 AS edge_id, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, CAST(key AS BIGINT) AS key FROM net_edges"))
 def q_pack_scan(spark, sf_dir):
     """A pack is written and scanned again."""
-    import tempfile
-
     from trailforge.sources import pack
 
     net = Net(spark, sf_dir)
     edges = network.complete_edges(net.edges.select("u", "v", "key", "length_m", "highway", "surface", "lit", "cycleway", "maxspeed", "oneway"), net.nodes)
-    place = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") if not spark.sparkContext.master.startswith("local[") else tempfile.mkdtemp()
-    folder = f"{place}/pack-{abs(hash(sf_dir)) % 10**8}"
+    folder = shared(spark, "pack")
     pack.write_pack(spark, folder, "grid", edges, net.nodes.select(F.col("node").cast("long").alias("node"), "x", "y"), net.pairs.withColumn("zone", F.lit("open")), net.trips.join(net.edges.select("edge_id", "u", "v", "key"), "edge_id").select("u", "v", "key", "trips"))
     return pack.load_pack(spark, folder).edges.select("edge_id", "u", "v", "key")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trailforge.functions import geometry as G
 from trailforge.operators import costs, network, scoring, search, turns
 from trailforge.plans.catalog import query
 from trailforge.plans.relations import WEIGHTS, _rounded, labelled, walks
@@ -44,19 +46,19 @@ def q_weak_components(spark, sf_dir):
     return network.weak_components(_thin(Net(spark, sf_dir)))
 
 
-@query(with_net(""", arc AS (SELECT DISTINCT u AS a, v AS b FROM net_edges WHERE u < 200 AND v < 200),
+@query(with_net(""", arc AS (SELECT DISTINCT u AS a, v AS b FROM net_edges),
 reach AS (SELECT a AS s, a AS n FROM (SELECT a FROM arc UNION SELECT b FROM arc) x UNION SELECT r.s, arc.b FROM reach r JOIN arc ON arc.a = r.n)
 SELECT x.s AS node, min(x.n) AS component FROM reach x JOIN reach y ON y.s = x.n AND y.n = x.s GROUP BY x.s"""))
 def q_strong_components(spark, sf_dir):
-    return network.strong_components(Net(spark, sf_dir).edges.filter("u < 200 AND v < 200"))
+    return network.strong_components(Net(spark, sf_dir).edges)
 
 
-@query(with_net(""", src AS (SELECT DISTINCT origin AS s FROM net_pairs WHERE origin IN (SELECT u FROM net_edges UNION SELECT v FROM net_edges) AND origin < 60), arc AS (SELECT DISTINCT u AS a, v AS b FROM net_edges),
+@query(with_net(""", src AS (SELECT DISTINCT origin AS s FROM net_pairs WHERE origin IN (SELECT u FROM net_edges UNION SELECT v FROM net_edges)), arc AS (SELECT DISTINCT u AS a, v AS b FROM net_edges),
 hop(source, node, hops) USING KEY (source, node) AS (SELECT s, s, 0 FROM src UNION SELECT h.source, arc.b, min(h.hops + 1) FROM hop h JOIN arc ON arc.a = h.node LEFT JOIN recurring.hop o ON o.source = h.source AND o.node = arc.b WHERE o.node IS NULL OR h.hops + 1 < o.hops GROUP BY 1, 2)
 SELECT source, node, hops FROM hop"""))
 def q_bfs_hops(spark, sf_dir):
     net = Net(spark, sf_dir)
-    return network.bfs_hops(net.edges, net.pairs.filter("origin < 60").select(F.col("origin").alias("source")).distinct())
+    return network.bfs_hops(net.edges, net.pairs.select(F.col("origin").alias("source")).distinct())
 
 
 #: Least costs from all origins, by relaxation.
@@ -93,16 +95,20 @@ def q_search_algos(spark, sf_dir):
     return _rounded(out, "cost", digits=5)
 
 
-@query()
+@query(with_net(_SSSP + "SELECT p.od_id, round(sp.cost, 5) AS cost, TRUE AS joined FROM net_pairs p JOIN sp ON sp.source = p.origin AND sp.node = p.destination WHERE p.origin <> p.destination"))
 def q_shortest_route(spark, sf_dir):
+    """The steps of each route: what they sum up to, and whether they lead from the origin to the destination without a gap."""
     net = Net(spark, sf_dir)
-    return search.steps(search.find_routes(net.edges, net.pairs)).select("od_id", "pos", "u", "v", "key")
+    steps = search.steps(search.find_routes(net.edges, net.pairs)).select("od_id", "pos", "u", "v", "edge_id").join(net.edges.select("edge_id", "length_m"), "edge_id")
+    steps = steps.withColumn("whole", F.coalesce(F.lag("v").over(Window.partitionBy("od_id").orderBy("pos")) == F.col("u"), F.col("pos") == 0))
+    ends = steps.groupBy("od_id").agg(F.sum("length_m").alias("cost"), F.min("whole").alias("whole"), F.min_by("u", "pos").alias("a"), F.max_by("v", "pos").alias("b"))
+    return _rounded(ends.join(net.pairs, "od_id").select("od_id", "cost", (F.col("whole") & (F.col("a") == F.col("origin")) & (F.col("b") == F.col("destination"))).alias("joined")), "cost", digits=5)
 
 
 @query()
 def q_simple_paths(spark, sf_dir):
     net = Net(spark, sf_dir)
-    return search.simple_paths(net.edges, net.pairs.filter("origin < 40"), 3).select("od_id", "nth", F.array_join(F.col("nodes").cast("array<string>"), ";").alias("nodes"), F.round("cost", 5).alias("cost"))
+    return search.simple_paths(net.edges, net.pairs, 3).select("od_id", "nth", F.array_join(F.col("nodes").cast("array<string>"), ";").alias("nodes"), F.round("cost", 5).alias("cost"))
 
 
 @query()
@@ -180,11 +186,13 @@ def q_union_routes(spark, sf_dir):
     return found.groupBy("algorithm").agg(F.count(F.lit(1)).alias("routes"))
 
 
-@query()
+@query(with_net(_SSSP + "SELECT p.od_id, round(sp.cost, 5) AS route_length_m, round(sp.cost, 5) AS drawn_m FROM net_pairs p JOIN sp ON sp.source = p.origin AND sp.node = p.destination WHERE p.origin <> p.destination"))
 def q_route_geometry(spark, sf_dir):
+    """A cheapest route passes no street twice, so its lines are as long as it is."""
     net = Net(spark, sf_dir)
     found = search.with_geometry(search.find_routes(net.edges, net.pairs), net.edges)
-    return found.select("od_id", F.size("geometry").alias("lines"), F.round("route_length_m", 6).alias("route_length_m"))
+    drawn = F.aggregate(F.transform("geometry", lambda line: G.polyline_length(line)), F.lit(0.0), lambda t, x: t + x)
+    return _rounded(found.select("od_id", "route_length_m", drawn.alias("drawn_m")), "route_length_m", "drawn_m", digits=5)
 
 
 @query()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from trailforge.operators.lineage import folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -64,6 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes and reads again, where all executors see it."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 class Net:
     """The network's relations over one folder of test tables.
 

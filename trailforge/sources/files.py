@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,23 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def replace(spark: SparkSession, old: str, new: str) -> None:
-    """Move a file or folder to a place that may be taken; what was there goes only after the new one is whole."""
+    """Move a file or folder to a place that may be taken; what was there steps aside and goes only when the new one stands.
+
+    A crash between the two moves leaves the old one beside its place, whole,
+    as <place>.old-<hex>.
+    """
     a, fs = _path(spark, old)
     b, _ = _path(spark, new)
-    if fs.exists(b):
-        fs.delete(b, True)
+    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{new}.old-{uuid.uuid4().hex}")
+    had = fs.exists(b)
+    if had and not fs.rename(b, aside):
+        raise OSError(f"{new} can't be moved aside")
     if not fs.rename(a, b):
+        if had:
+            fs.rename(aside, b)
         raise OSError(f"{old} can't be moved to {new}")
+    if had:
+        fs.delete(aside, True)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

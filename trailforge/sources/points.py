@@ -27,10 +27,15 @@ def _all_valid(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with columns lon and lat."""
+    return _all_valid(scan_csv(spark, path))
+
+
+def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with columns lon and lat, as texts; for checked_lonlat()."""
     df = spark.read.csv(path, header=True)
     if missing := {"lon", "lat"} - set(df.columns):
         raise ValueError(f"the file lacks {sorted(missing)}")
-    return _all_valid(df)
+    return df
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
