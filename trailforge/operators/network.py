@@ -331,7 +331,7 @@ def bfs_hops(edges: DataFrame, sources: DataFrame, most: int = 10_000, small: in
         step = front.join(arcs, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct()
         front = settled(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
-            return seen
+            return seen.select("source", "node", "hops")
         seen = seen.unionByName(front)
         if k % 20 == 0:
             seen = settled(seen)

@@ -35,6 +35,8 @@ def replace(spark: SparkSession, old: str, new: str) -> None:
     a, fs = _path(spark, old)
     b, _ = _path(spark, new)
     aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{new}.old-{uuid.uuid4().hex}")
+    if not fs.exists(a):
+        raise FileNotFoundError(old)
     had = fs.exists(b)
     if had and not fs.rename(b, aside):
         raise OSError(f"{new} can't be moved aside")

@@ -7,7 +7,9 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trailforge.operators.network import LINE
 from trailforge.sources import files
 
 
@@ -48,7 +50,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return _all_valid(rows.select("properties", F.explode(many).alias("c")).select(F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"), "properties"))
 
 
-@F.pandas_udf("array<array<struct<x:double,y:double>>>")
+@F.pandas_udf(T.ArrayType(LINE))
 def wkb_parts(raw: pd.Series) -> pd.Series:
     """Well-known binary as a list of parts."""
     from trailforge.functions.lines import from_wkb
@@ -56,7 +58,7 @@ def wkb_parts(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else [[{"x": x, "y": y} for x, y in part] for part in from_wkb(bytes(b))])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def as_wkb(lines: pd.Series) -> pd.Series:
     """Lines (or points, as lines of one) as well-known binary."""
     from trailforge.functions.lines import to_wkb
