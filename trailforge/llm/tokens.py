@@ -143,13 +143,22 @@ class Encoder:
 
     def _learn_some(self, fresh: list[str], base: int):
         """Encode some pieces, whose numbers count from base."""
-        letters = np.fromiter((m is not None for m in map(_LETTERS, fresh)), bool, len(fresh))
+        # Where blanks are dropped, a word is the same after a line feed.
+        words = fresh if self.blank_leads else [p[1:] if p[:1] == AFTER else p for p in fresh]
+        letters = np.fromiter((m is not None for m in map(_LETTERS, words)), bool, len(fresh))
         if self.feed is None:
             letters[:] = False
-        if letters.any():
-            ids, ends = self._words(list(compress(fresh, letters.tolist())))
-            if not self._found(base + np.flatnonzero(letters), ids, ends):
-                letters[:] = False
+        new = letters.copy()
+        if self.lowers and not self.blank_leads:
+            # Words of letters whose small form is known have its ids.
+            twins = np.fromiter((self.memo.get(w.lower(), -1) if m else -1 for w, m in zip(words, letters.tolist())), np.int64, len(fresh))
+            at = np.flatnonzero((twins >= 0) & (twins < base))
+            self.start[base + at], self.length[base + at] = self.start[twins[at]], self.length[twins[at]]
+            new[at] = False
+        if new.any():
+            ids, ends = self._words(list(compress(words, new.tolist())))
+            if not self._found(base + np.flatnonzero(new), ids, ends):
+                letters[new] = False
         self.bits[base : base + len(fresh)] = WORD
         rest = np.flatnonzero(~letters).tolist()
         spelled = [self._spelled(fresh[k]) for k in rest]
