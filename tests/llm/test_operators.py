@@ -285,7 +285,7 @@ def test_tree_is_context_tree_weighting():
     for t in (b"abra", b"zz\xc3", b""):
         b = bytes([255] * depth) + t + b"\xff"
         want = [log10(b[i - depth : i][::-1], b[i]) for i in range(depth, len(b))]
-        assert np.allclose(tree.score(ctw.grams([t], depth)), want, atol=1e-5)
+        assert np.allclose(tree.walk(ctw.grams([t], depth)), want, atol=1e-5)
     assert abs(sum(10 ** log10(b"ba", y) for y in range(256)) - 1) < 1e-9
 
 
@@ -305,20 +305,36 @@ def test_base_score(frame, odd):
     assert ctw.score(odd.limit(0)).count() == 0
 
 
-def test_rare_grams_forget_their_farthest_byte(frame):
-    docs = frame([(i, "abcdefgh " * 20 + chr(97 + i % 26) * 3) for i in range(30)])
-    found, n = ctw.learn(docs, "text", 4, 10)
-    whole, m = ctw.learn(docs, "text", 4)
-    assert n.sum() == m.sum() and len(found) < len(whole)
-
-
-def test_no_gram_is_lost_in_large_trees(frame):
-    raw = np.random.default_rng(16).choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8), 4_400_000)
-    text = raw.tobytes().decode()
-    grams = sum(raw[k : len(raw) - 4 + k].astype(np.uint64) << np.uint64(8 * k) for k in range(5))
-    found, n = ctw.learn(frame([(i, text[k : k + 100_000]) for i, k in enumerate(range(0, len(text), 100_000))]))
-    # A text of 100,000 letters has 100,001 decisions, the end mark being one.
-    assert len(found) > 0.97 * len(np.unique(grams)) > 4_000_000 and n.sum() == 44 * 100_001
+def test_spread_tree_scores_as_one(frame, monkeypatch):
+    """Chunks of a few n-grams, counts passed on early: as one brute-force tree over the training texts."""
+    monkeypatch.setattr(ctw, "WEIGHED", 3)
+    monkeypatch.setattr(ctw, "HELD", 5)
+    monkeypatch.setattr(ctw, "SLAB", 20)
+    texts = {i: t for i, t in enumerate(["abracadabra", "abcab", "été", "", None, "Abra ca dabra", "zz\U0001d518", "abc abd abe", "ab", "ab", "cab", "dab"])}
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(40)}
+    texts = {i: texts[i % 12] for i in out}
+    raw = {i: (t or "").lower().encode() for i, t in texts.items()}
+    assert any(out.values())
+    for depth in (0, 1, 3):
+        log10 = brute_tree([raw[i] for i in raw if not out[i]], depth)
+        got = {r.doc_id: r.score for r in ctw.score(frame(list(texts.items())), depth=depth).collect()}
+        for i in texts:
+            b = bytes([255] * depth) + raw[i] + b"\xff"
+            want = sum(log10(b[k - depth : k][::-1], b[k]) for k in range(depth, len(b)))
+            assert math.isclose(got[i], want, rel_tol=1e-9), (depth, i)
+
+
+def test_probabilities_of_a_spread_tree_sum_to_one(frame):
+    rng = np.random.default_rng(16)
+    texts = [bytes(rng.choice(np.frombuffer(b"abc d", np.uint8), 200)) for _ in range(60)]
+    over = ctw.crown(frame([(i, t.decode()) for i, t in enumerate(texts)]))
+    assert [len(x[0]) for x in over] == [len(x[0]) for x in ctw.Tree(*np.unique(ctw.grams(texts), return_counts=True)).levels[:2]]
+    whole = ctw.Tree(*np.unique(ctw.grams(texts), return_counts=True))
+    keys = (np.uint64(int.from_bytes(b"ab a", "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    found, n = np.unique(ctw.grams(texts), return_counts=True)
+    own = found >> np.uint64(24) == keys[0] >> np.uint64(24)
+    part = ctw.Tree(found[own], n[own], ctw.DEPTH, over)
+    assert np.allclose(part.walk(keys), whole.walk(keys), atol=1e-12) and abs((10 ** part.walk(keys)).sum() - 1) < 1e-9
 
 
 # 5. phrases

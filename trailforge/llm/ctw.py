@@ -9,17 +9,22 @@ a leaf with weight P_e / (2 P_w). Each text begins after an end mark and ends
 with one (a byte that UTF-8 never has), so the model is a proper distribution
 over whole texts; its code length per byte is -score / log10(2) / bytes.
 
-Learning counts the n-grams of all training texts in the executors; partial
-counts meet by n-gram. What the tree is built from are the different n-grams;
-all are kept. The driver gathers them and they are broadcast (20 bytes each), so
-memory grows with the number of different n-grams. Only a caller that gives
-``most`` gets a cut tree, in which the rarest n-grams lose their deepest contexts.
+The tree is spread over the executors by the TOP nearest bytes of context: a
+subtree below such a context needs only the n-grams of that context, at most
+2^24 of them at DEPTH. One pass counts the training texts' n-grams, weighs the
+subtrees and sums what they hand up; the nodes above, fewer than 65,536 whatever
+the corpus, are weighed by the driver and broadcast. A second pass builds the
+subtrees again, each beside all n-grams that any text asks of it, and gives each
+of those the probability of its last byte, which goes back to the texts. No
+n-gram is dropped, and no table of n-grams goes to the driver or to all
+executors.
 
 The base score needs every token's count. Texts are dealt to buckets; each
-bucket counts its tokens, the counts meet by token in a window that has a row
-for each bucket at most, and come back to the bucket's texts. So a word as
-frequent as any costs no more rows than there are buckets. Tokens are told apart
-by 64-bit hashes.
+bucket counts its tokens and n-grams, the counts meet by token or n-gram in a
+window that has a row for each bucket (a few where a bucket has more than HELD
+different ones), and come back to the bucket's texts. So a word as frequent as
+any costs no more rows than there are buckets. Tokens are told apart by 63-bit
+hashes.
 
 Defined cases: a null text is empty and has the end token alone; held-out
 documents are scored and never counted; without training documents every
@@ -30,7 +35,6 @@ repeated rows count and are scored each for itself; null ids hash as empty text.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +42,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import cut, parts_for
+from trailforge.llm.common import cut, parts, parts_for
 
 DEPTH = 4
+#: Nearest bytes of context by which the tree is spread.
+TOP = 2
 END = 0xFF
+#: Different tokens or n-grams of a partition that are held before they are passed on, and n-grams weighed at a time, about.
+HELD, WEIGHED = 2_000_000, 1_000_000
 #: Bytes that are counted at a time, and scored.
 SLAB, SCORED = 4_000_000, 1_000_000
 #: Bytes of text in a bucket, about, where the session's own number of partitions would make larger ones.
@@ -88,11 +96,22 @@ def _slabs(column, most: int):
         yield some
 
 
-def _counted(batches):
-    for batch in batches:
-        for some in _slabs(batch.column(0), SLAB):
-            found, n = np.unique(grams(some), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys, ascending, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return (keys[new], *(np.add.reduceat(v[order], new) if len(keys) else v for v in values))
+
+
+def _counted(depth: int):
+    def count(batches):
+        for batch in batches:
+            for some in _slabs(batch.column(0), SLAB):
+                found, n = np.unique(grams(some, depth), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    return count
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -107,62 +126,48 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - low
 
 
+def _weigh(level: tuple, count: int) -> tuple[list[tuple], tuple]:
+    """The levels of ``count`` depths, the least first, and what the depth above gets of them.
+
+    level: nodes (context and bits so far), their ones, all their decisions, and
+    the sum of their children's log weighted probabilities (none: they are the
+    deepest). A level has the nodes' weight as a leaf in its place.
+    """
+    levels = []
+    for _ in range(count):
+        nodes, ones, every, under = level
+        own = _lgamma(ones + 0.5) + _lgamma(every - ones + 0.5) - _lgamma(every + 1) - 1.1447298858494002
+        if under is None:
+            whole, leaf = own, np.ones(len(nodes))
+        else:
+            high = np.maximum(own, under)
+            whole = high + np.log(np.exp(own - high) + np.exp(under - high)) - 0.6931471805599453
+            leaf = np.exp(own - whole - 0.6931471805599453)
+        levels.insert(0, (nodes, ones, every, leaf))
+        # A node's parent lacks the farthest byte, the lowest one of the context.
+        level = _sums((nodes >> np.uint64(16) << np.uint64(8)) | (nodes & np.uint64(0xFF)), ones, every, whole)
+    return levels, level
+
+
 class Tree:
-    """The weighted tree, ready to score.
+    """A weighted tree, or the subtrees of whole contexts of it below given levels.
 
-    keys and logs: of each n-gram seen (deepest contexts) the log10 probability
-    of its last byte. nodes, ones, all and leaf: per depth the nodes (context and
-    bits so far), their counts, and their weight as a leaf.
+    levels: per depth nodes, ones, decisions and weight as a leaf. above: what
+    the depth over the least one of its own gets of it.
     """
 
-    def __init__(self, found: np.ndarray, n: np.ndarray, depth: int = DEPTH):
-        """found: keys as of grams(), ascending; n: their counts."""
+    def __init__(self, found: np.ndarray, n: np.ndarray, depth: int = DEPTH, over: tuple | list = ()):
+        """found: keys as of grams(), different; n: their counts; over: the levels above."""
         self.depth = depth
-        self.nodes, self.ones, self.all, self.leaf = [], [], [], []
-        below = None
-        for d in range(depth, -1, -1):
-            shift = np.uint64(8 * (depth - d) + 8)
-            context, last = found >> shift, found & np.uint64(0xFF)
-            key = (context << np.uint64(8)) | last
-            if d < depth:
-                order = np.argsort(key, kind="stable")
-                key, count = key[order], n[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-                count = np.add.reduceat(count, np.flatnonzero(new)) if len(key) else count
-                key = key[new]
-            else:
-                count = n
-            nodes, ones, every = [], [], []
-            for k in range(8):
-                # Node of k bits: a leading one, then the bits. Byte order keeps equal nodes together.
-                byte = key & np.uint64(0xFF)
-                node = (key >> np.uint64(8) << np.uint64(8)) | (np.uint64(1 << k) | (byte >> np.uint64(8 - k)))
-                bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-                new = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-                nodes.append(node[new])
-                every.append(np.add.reduceat(count, new) if len(node) else count)
-                ones.append(np.add.reduceat(count * bit.astype(np.int64), new) if len(node) else count)
-            nodes, ones, every = (np.concatenate(x) for x in (nodes, ones, every))
-            order = np.argsort(nodes)
-            nodes, ones, every = nodes[order], ones[order].astype(float), every[order].astype(float)
-            own = _lgamma(ones + 0.5) + _lgamma(every - ones + 0.5) - _lgamma(every + 1) - 1.1447298858494002
-            if below is None:
-                whole, leaf = own, np.ones(len(nodes))
-            else:
-                under = np.zeros(len(nodes))
-                np.add.at(under, np.searchsorted(nodes, below[0]), below[1])
-                high = np.maximum(own, under)
-                whole = high + np.log(np.exp(own - high) + np.exp(under - high)) - 0.6931471805599453
-                leaf = np.exp(own - whole - 0.6931471805599453)
-            # A node's parent lacks the farthest byte, the lowest one of the context.
-            below = ((nodes >> np.uint64(16) << np.uint64(8)) | (nodes & np.uint64(0xFF)), whole)
-            self.nodes.insert(0, nodes)
-            self.ones.insert(0, ones.astype(np.float32))
-            self.all.insert(0, every.astype(np.float32))
-            self.leaf.insert(0, leaf.astype(np.float32))
-        self.keys = found
-        self.logs = self.walk(found).astype(np.float32)
-        self._table()
+        byte, n = found & np.uint64(0xFF), n.astype(float)
+        nodes, ones = [], []
+        for k in range(8):
+            # Node of k bits: a leading one, then the bits.
+            nodes.append((found >> np.uint64(8) << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k)))
+            ones.append(n * ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(float))
+        deepest = _sums(np.concatenate(nodes), np.concatenate(ones), np.tile(n, 8))
+        own, self.above = _weigh((*deepest, None), depth - len(over) + 1)
+        self.levels = [*over, *own]
 
     def walk(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each key, decision by decision."""
@@ -173,136 +178,210 @@ class Tree:
             prefix = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
             p = np.full(len(keys), 0.5)
             for d in range(self.depth, -1, -1):
-                node = (keys >> np.uint64(8 * (self.depth - d) + 8) << np.uint64(8)) | prefix
-                nodes = self.nodes[d]
+                nodes, ones, every, leaf = self.levels[d]
                 if not len(nodes):
                     continue
+                node = (keys >> np.uint64(8 * (self.depth - d) + 8) << np.uint64(8)) | prefix
                 at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
                 seen = nodes[at] == node
-                ones, every, leaf = (x[d][at].astype(float) for x in (self.ones, self.all, self.leaf))
-                kt = (np.where(bit > 0, ones, every - ones) + 0.5) / (every + 1)
+                kt = (np.where(bit > 0, ones[at], every[at] - ones[at]) + 0.5) / (every[at] + 1)
                 # Below a node never seen all estimates are one half, and so is their mixture.
-                p = np.where(seen, leaf * kt + (1 - leaf) * p, p)
+                p = np.where(seen, leaf[at] * kt + (1 - leaf[at]) * p, p)
             out += np.log10(p)
         return out
 
-    def _table(self):
-        """Open addressing: the place of each key, by its hash."""
-        bits = max(4, int(len(self.keys) * 2 - 1).bit_length()) if len(self.keys) else 4
-        self.shift = np.uint64(64 - bits)
+
+class Known:
+    """Values of keys by open addressing; every key that is asked for must be there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(4, int(len(keys) * 2).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32)
-        rest = np.arange(len(self.keys))
-        at = self._hash(self.keys)
+        rest, at = np.arange(len(keys)), self._place(keys)
         while len(rest):
             free = self.slots[at] < 0
             self.slots[at[free]] = rest[free]
             lost = self.slots[at] != rest
-            rest, at = rest[lost], (at[lost] + 1) & ((1 << bits) - 1)
+            rest, at = rest[lost], (at[lost] + 1) & self.last
 
-    def _hash(self, keys):
+    def _place(self, keys):
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each key."""
-        if not len(self.keys):
-            return self.walk(keys)
-        at = self._hash(keys)
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
         slot = self.slots[at]
-        # The last place serves the empty slots.
-        good = (slot >= 0) & (self.keys[slot] == keys)
-        out = self.logs[slot].astype(np.float64)
-        rest = np.flatnonzero(~good & (slot >= 0))
-        missing = [np.flatnonzero(slot < 0)]
-        step = at[rest]
+        rest = np.flatnonzero((slot < 0) | (self.keys[slot] != keys))
         while len(rest):
-            step = (step + 1) & (len(self.slots) - 1)
-            slot = self.slots[step]
-            hit = (slot >= 0) & (self.keys[slot] == keys[rest])
-            out[rest[hit]] = self.logs[slot[hit]]
-            missing.append(rest[slot < 0])
-            on = ~hit & (slot >= 0)
-            rest, step = rest[on], step[on]
-        unseen = np.concatenate(missing)
-        if len(unseen):
-            some, back = np.unique(keys[unseen], return_inverse=True)
-            out[unseen] = self.walk(some)[back]
-        return out
+            at[rest] = (at[rest] + 1) & self.last
+            slot[rest] = self.slots[at[rest]]
+            if (slot[rest] < 0).any():
+                raise KeyError("an n-gram that was not counted")
+            rest = rest[self.keys[slot[rest]] != keys[rest]]
+        return self.values[slot]
+
+
+def _chunks(batches, shift: np.uint64, most: int):
+    """Different n-grams and their counts, ascending; a context (an n-gram without its ``shift`` lowest bits) is never cut."""
+    parts, size = [], 0
 
+    def apart(keys, n):
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        return keys[new], n[new]
 
-def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams of all texts, ascending, and their counts; at most about ``most`` where it is given."""
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted, "gram long, n long")
-    counts = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))
-    floor = 1
-    while most is not None and counts.filter(F.col("n") >= floor).count() > most:
-        floor *= 2
-    if floor > 1:
-        # Rare n-grams forget their farthest bytes, one after another, until they are common enough or have no context.
-        for k in range(1, depth + 1):
-            low = (1 << (8 * k + 8)) - (1 << 8)
-            blank = sum(END << (8 * j) for j in range(1, k + 1))
-            short = F.col("gram").bitwiseAND(~low).bitwiseOR(F.lit(blank))
-            counts = counts.select(F.when(F.col("n") < floor, short).otherwise(F.col("gram")).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = cut(counts)
-    table = counts.toArrow()
-    found, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(found)
-    return found[order], n[order]
-
-
-def _token_counts(batches):
-    """Rows (bucket, h, n): tokens of the training documents; n is 0 for those that only held-out ones have."""
     for batch in batches:
-        total: dict = {}
-        for bucket, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            own = total.setdefault(bucket, {})
-            add = 0 if out else 1
-            for w in tokens(text.as_py()):
-                own[w] = own.get(w, 0) + add
-            own[b" "] = own.get(b" ", 0) + add  # the end token; no word has a blank
-        for bucket, own in total.items():
-            h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(own), pa.int64()), pa.array(h), pa.array(list(own.values()), pa.int64())], ["bucket", "h", "n"])
+        if batch.num_rows:
+            parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+        if size >= most:
+            keys, n = (np.concatenate(x) for x in zip(*parts))
+            end = int(np.searchsorted(keys, keys[-1] >> shift << shift))
+            if end:
+                yield apart(keys[:end], n[:end])
+            parts, size = [(keys[end:], n[end:])], 0
+    if parts:
+        yield apart(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _by_context(counts: DataFrame, shift: int) -> DataFrame:
+    """Rows (gram, n), those of a context side by side in one partition, ascending."""
+    spread = counts.repartition(parts(counts.sparkSession), F.shiftright("gram", shift))
+    return spread.sortWithinPartitions("gram")
+
+
+def _handed_up(depth: int, top: int):
+    def hand(batches):
+        for keys, n in _chunks(batches, np.uint64(8 * (depth - top) + 8), WEIGHED):
+            nodes, ones, every, under = Tree(keys, n, depth, [()] * top).above
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(ones), pa.array(every), pa.array(under)], ["node", "ones", "every", "below"])
+
+    return hand
+
+
+def crown(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> list[tuple]:
+    """The levels of the tree of all texts that lie above the contexts of TOP bytes: fewer than 65,536 nodes."""
+    top = min(TOP, depth)
+    if not top:
+        return []
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted(depth), "gram long, n long")
+    counts = _by_context(counts.groupBy("gram").agg(F.sum("n").alias("n")), 8 * (depth - top) + 8)
+    above = counts.mapInArrow(_handed_up(depth, top), "node long, ones double, every double, below double")
+    table = above.groupBy("node").agg(F.sum("ones"), F.sum("every"), F.sum("below")).toArrow()
+    nodes, *sums = (c.to_numpy() for c in table.columns)
+    return _weigh(_sums(nodes.astype(np.int64).view(np.uint64), *sums), top)[0]
+
+
+def _weighed(depth: int, over):
+    def weigh(batches):
+        levels = over.value
+        for keys, n in _chunks(batches, np.uint64(8 * (depth - len(levels)) + 8), WEIGHED):
+            seen = n > 0
+            p = Tree(keys[seen], n[seen], depth, levels).walk(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p)], ["key", "p"])
+
+    return weigh
+
+
+def _hash(word: bytes) -> int:
+    """A token's number, below zero; those of n-grams are not."""
+    return (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
+
+
+def _items(depth: int):
+    """Rows (bucket, gram, h, n): each bucket's tokens and n-grams with their training counts; n is 0 for those that only held-out texts have."""
+
+    def rows(bucket, gram, h, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), bucket, np.int64)), pa.array(np.full(len(h), gram)), pa.array(h), pa.array(n)], ["bucket", "gram", "h", "n"])
+
+    def items(batches):
+        total: dict = {}  # bucket: its tokens
+        found: dict = {}  # bucket: parts of its n-grams
+        wait: dict = {}  # bucket and whether held out: texts to be counted
+        size = n_words = n_grams = 0
+
+        def count():
+            added = 0
+            for (bucket, out), texts in wait.items():
+                keys, n = np.unique(grams(texts, depth), return_counts=True)
+                found.setdefault(bucket, []).append((keys, n * 0 if out else n))
+                added += len(keys)
+            wait.clear()
+            return added
+
+        def meet():
+            for bucket, some in found.items():
+                found[bucket] = [_sums(*(np.concatenate(x) for x in zip(*some)))]
+            return sum(len(x[0][0]) for x in found.values())
+
+        def words():
+            for bucket, own in total.items():
+                yield rows(bucket, False, np.fromiter(map(_hash, own), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
+            total.clear()
+
+        def contexts():
+            for bucket, ((keys, n),) in found.items():
+                yield rows(bucket, True, keys.view(np.int64), n)
+            found.clear()
+
+        for batch in batches:
+            texts, outs, buckets = (batch.column(name) for name in ("text", "held", "bucket"))
+            for bucket, text, out in zip(buckets.to_pylist(), texts, outs.to_pylist()):
+                raw = plain(text.as_py())
+                own, add = total.setdefault(bucket, {}), 0 if out else 1
+                n_words -= len(own)
+                for w in filter(None, raw.translate(_WORDS).split(b" ")):
+                    own[w] = own.get(w, 0) + add
+                own[b" "] = own.get(b" ", 0) + add  # the end token; no word has a blank
+                n_words += len(own)
+                wait.setdefault((bucket, out), []).append(raw)
+                size += len(raw) + 1
+                if n_words >= HELD:
+                    yield from words()
+                    n_words = 0
+                if size >= SLAB:
+                    n_grams, size = n_grams + count(), 0
+                    if n_grams >= HELD:
+                        n_grams = meet()
+                        if n_grams >= HELD:
+                            yield from contexts()
+                            n_grams = 0
+        count()
+        meet()
+        yield from words()
+        yield from contexts()
+
+    return items
 
 
 class _Logs(dict):
     """Word to its place in logs (of the count and 0.1) and known (count over 0)."""
 
-    def __init__(self, counts: dict[int, int]):
+    def __init__(self, counts: dict[int, float]):
         super().__init__()
         self.counts, self.logs, self.known = counts, [], []
 
     def __missing__(self, word):
-        h = xxhash.xxh64_intdigest(word)
-        n = self.counts[h - (1 << 64) if h >> 63 else h]
+        n = self.counts[_hash(word)]
         self[word] = at = len(self.logs)
         self.logs.append(math.log10(n + 0.1))
         self.known.append(n > 0)
         return at
 
 
-#: The tree that the worker has built last, by its name.
-_TREES: dict[str, Tree] = {}
-
-
-def _tree(name: str, shared) -> Tree:
-    if name not in _TREES:
-        _TREES.clear()
-        _TREES[name] = Tree(*shared.value)
-    return _TREES[name]
-
-
-def _scored(name, shared, kind):
+def _scored(kind, depth: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "own", "first_seen", "score", "n_bytes"]
     kinds = [kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
 
     def score(key, docs: pa.Table, counts: pa.Table) -> pa.Table:
-        model = _tree(name, shared)
-        words = _Logs(dict(zip(counts.column("h").to_pylist(), counts.column("c").to_pylist())))
-        marks = int(np.count_nonzero(counts.column("mark").to_numpy()))
+        h, v = counts.column("h").to_numpy(), counts.column("v").to_numpy()
+        marks = len(np.unique(h[counts.column("mark").to_numpy()]))
+        words = _Logs(dict(zip(h[h < 0].tolist(), v[h < 0].tolist())))
+        keys, at = np.unique(h[h >= 0], return_index=True)
+        model = Known(keys.view(np.uint64), v[h >= 0][at])
         own, n_tokens, n_known, total, n_bytes = [], [], [], [], []
         for some in _slabs(docs.column("text"), SCORED):
-            p = model.score(grams(some, model.depth))
+            p = model[grams(some, depth)]
             sizes = np.array([len(t) + 1 for t in some])
             total.append(np.add.reduceat(p, np.cumsum(sizes) - sizes))
             n_bytes.append(sizes - 1)
@@ -320,24 +399,27 @@ def _scored(name, shared, kind):
     return score
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, most: int | None = None) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. depth: 6 at most."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held"))
-    tree, name = spark.sparkContext.broadcast((*learn(rows.filter(~F.col("held")), "text", depth, most), depth)), uuid.uuid4().hex
+    over = spark.sparkContext.broadcast(crown(rows.filter(~F.col("held")), "text", depth))
     buckets = parts_for(rows, "text", BUCKET)
     salted = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition(buckets, "bucket")
-    counts = salted.select("bucket", "text", "held").mapInArrow(_token_counts, "bucket long, h long, n long")
-    counts = counts.groupBy("bucket", "h").agg(F.sum("n").alias("n"))
-    # A row for each bucket at most in a token's window.
+    # All columns go in, and the rows are filtered above the window only: so one exchange of texts and one of counts serve twice.
+    counts = salted.mapInArrow(_items(depth), "bucket long, gram boolean, h long, n long")
     by = Window.partitionBy("h")
-    counts = counts.select("bucket", "h", F.sum("n").over(by).alias("c"), F.min("bucket").over(by).alias("least"))
-    counts = counts.select("bucket", "h", "c", ((F.col("c") > 0) & (F.col("bucket") == F.col("least"))).alias("mark"))
+    counts = counts.select("bucket", "gram", "h", F.sum("n").over(by).alias("c"), (F.col("bucket") == F.min("bucket").over(by)).alias("least"))
+    asked = counts.filter(F.col("gram") & F.col("least")).select(F.col("h").alias("gram"), F.col("c").alias("n"))
+    logs = _by_context(asked, 8 * (depth - min(TOP, depth)) + 8).mapInArrow(_weighed(depth, over), "key long, p double")
+    counts = counts.join(logs, F.col("h") == F.col("key"), "left")
+    mark = ~F.col("gram") & (F.col("c") > 0) & F.col("least")
+    counts = counts.select("bucket", "h", F.coalesce("p", F.col("c").cast("double")).alias("v"), mark.alias("mark"))
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, own double, first_seen long, score double, n_bytes long"
-    own = cut(salted.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_scored(name, tree, to_arrow_type(kind)), schema))
+    own = cut(salted.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_scored(to_arrow_type(kind), depth), schema))
     totals = own.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("first_seen"), F.lit(0)).alias("v"))
     out = own.crossJoin(F.broadcast(totals))  # one row
     base = F.col("own") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.1 * (F.col("v") + 1))
