@@ -157,3 +157,64 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
     if length_col and length_col in docs.columns:
         made[length_col] = F.length("left").cast(docs.schema[length_col].dataType)
     return kept.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _any(phrases) -> str:
+    return "(" + " OR ".join(f"contains(low, '{p}')" for p in phrases) + ")"
+
+
+#: measure() over documents as DuckDB's SQL. The rules' cheap first tests follow from the others, so they are left out.
+ORACLE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs
+), counted AS (
+  SELECT r, line, lower(line) AS low, length(line) AS chars,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    len(regexp_extract_all(line, '{SEPARATORS}')) AS separators,
+    len(regexp_extract_all(line, '{SIGNS}')) AS signs,
+    len(regexp_extract_all(line, '!')) AS shouts,
+    len(regexp_extract_all(line, '\p{{L}}')) AS letters,
+    len(regexp_extract_all(line, '\p{{Lu}}')) AS capitals,
+    regexp_matches(line, '\p{{P}}') AS stops
+  FROM lines
+), judged AS (
+  SELECT r, line, chars, n,
+    {_any(BOILERPLATE)}
+    OR (separators >= 2 AND separators * 5 >= n)
+    OR ({_any(NAVIGATION)} AND n <= {SHORT})
+    OR signs * 5 > chars
+    OR (shouts >= 3 AND shouts * 2 >= n)
+    OR (letters >= 40 AND capitals * 10 >= letters * 9)
+    OR (NOT stops AND n > {SHORT}) AS bad
+  FROM counted
+), by_line AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS lines_removed,
+    coalesce(sum(chars) FILTER (NOT bad), 0) AS kept_chars, sum(chars) AS all_chars,
+    count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines
+  FROM judged GROUP BY r
+), tokens AS (
+  SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs
+), placed AS (
+  SELECT r, unnest(range(len(w))) AS i, unnest(w) AS x FROM tokens
+), starts AS (
+  SELECT r, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS five, lead(x, 4) OVER o AS fifth
+  FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, five) AS times FROM starts WHERE fifth IS NOT NULL
+), repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM windows, unnest([0, 1, 2, 3, 4]) AS t(k) WHERE times > 1 GROUP BY r
+), measured AS (
+  SELECT t.doc_id, len(t.w) AS n_words, length(array_to_string(t.w, '')) AS word_chars,
+    len(regexp_extract_all(t.text, '[#*$%&|<>]')) AS n_symbols, b.n_dup_lines,
+    coalesce(p.n, 0) AS n_repeat_words, b.n_lines, b.lines_removed,
+    CASE WHEN b.all_chars > 0 THEN 1 - b.kept_chars::DOUBLE / b.all_chars::DOUBLE ELSE 0.0::DOUBLE END AS lost_share
+  FROM tokens t JOIN by_line b USING (r) LEFT JOIN repeated p USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_share <= {MOST_LOST} AS kept,
+  n_lines, lines_removed, lost_share
+FROM measured
+"""

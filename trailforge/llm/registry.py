@@ -57,4 +57,4 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_weak_supervision, op3_pareto_mixing, op4_context_tree, op5_lempel_ziv, op6_conditional_random_field, op7_bit_planes, op8_template_tree, op9_ball_hashing, op10_sum_of_squares)}
-ORACLES: dict[str, str] = {"op3_pareto_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op3_pareto_mixing": mixing.ORACLE}
