@@ -182,23 +182,75 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(_signed(out))], ["key", "s"])
 
 
+#: Lines that a task remembers, and tokens that it hands on at once.
+_SEEN, _PORTION = 1_000_000, 1 << 20
+_FIELDS = "leaf long, th long, ks array<long>"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(33))
+    x = x * _WEAK
+    return x ^ (x >> np.uint64(29))
+
+
 def _tokens(wanted):
-    """Rows (leaf, th, j, tok, n) for the lines of wanted leaves (None: of all); j: place, tok: hash of the token."""
+    """Rows (leaf, th, ks) for the lines of wanted leaves (None: of all), as a rule each once a task; ks: a hash of leaf, place and token for every token."""
 
     def rows(batches):
         wanted_ = None if wanted is None else set(wanted.value.tolist())
+        seen = set()
+
+        def portion():
+            n = np.array(sizes, np.int64)
+            leaf = np.repeat(np.array(leaves, np.uint64), n)
+            place = (np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+            ks = _mixed(leaf ^ _mixed(np.array(tokens, np.uint64) + place * np.uint64(0x9E3779B97F4A7C15)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ks.view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(_signed(leaves)), pa.array(_signed(lines)), lists], ["leaf", "th", "ks"])
+
         for batch in batches:
-            out = [[], [], [], [], []]
+            leaves, lines, sizes, tokens = [], [], [], []
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     if line.count(" ") < SHORTEST - 1 and len(line.split()) < SHORTEST:
                         continue
                     p = parsed(line)
-                    if p and len(p[2]) >= SHORTEST and (wanted_ is None or p[0] in wanted_):
-                        for j, token in enumerate(p[2]):
-                            for col, x in zip(out, (p[0], p[1], j, _number(token), len(p[2]))):
-                                col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(out[0])), pa.array(_signed(out[1])), pa.array(out[2], pa.int32()), pa.array(_signed(out[3])), pa.array(out[4], pa.int32())], ["leaf", "th", "j", "tok", "n"])
+                    if p and len(p[2]) >= SHORTEST and (wanted_ is None or p[0] in wanted_) and p[1] not in seen:
+                        if len(seen) >= _SEEN:
+                            seen.clear()
+                        seen.add(p[1])
+                        leaves.append(p[0])
+                        lines.append(p[1])
+                        sizes.append(len(p[2]))
+                        tokens.extend(map(_number, p[2]))
+                        if len(tokens) >= _PORTION:
+                            yield portion()
+                            leaves, lines, sizes, tokens = [], [], [], []
+            yield portion()
+
+    return rows
+
+
+def _counted(batches):
+    """Rows (k, kinds): how many lines of a batch have each number."""
+    for batch in batches:
+        k, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["k", "kinds"])
+
+
+def _shaped(shared):
+    """Rows (leaf, th, shape): the sum of a line's constant numbers, where LIKE of its tokens are constant; shared: the constant ones, ascending."""
+
+    def rows(batches):
+        for batch in batches:
+            k, n = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
+            if not len(n) or not len(shared.value):
+                continue
+            own = shared.value[np.minimum(np.searchsorted(shared.value, k), len(shared.value) - 1)] == k
+            first = np.cumsum(n) - n
+            fixed, shape = np.add.reduceat(own.astype(np.int64), first), np.add.reduceat(np.where(own, k >> 20, 0), first)
+            like = pa.array(fixed >= LIKE * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(like), batch.column(1).filter(like), pa.array(shape).filter(like)], ["leaf", "th", "shape"])
 
     return rows
 
@@ -259,35 +311,23 @@ def generalised(text: DataFrame, leaves: DataFrame, said: DataFrame, few: int) -
     sc = text.sparkSession.sparkContext
     if n <= MANY:
         wanted = sc.broadcast(_unsigned(leaves))
-        rows = text.mapInArrow(_tokens(wanted), "leaf long, th long, j int, tok long, n int")
+        lines = text.mapInArrow(_tokens(wanted), _FIELDS)
     else:
-        rows = text.mapInArrow(_tokens(None), "leaf long, th long, j int, tok long, n int").join(leaves, "leaf", "left_semi")
-    rows = cut(rows.distinct())
-    counts = rows.groupBy("leaf", "j", "tok").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= few)
-    keyed = rows.select("leaf", "th", "n", F.shiftright(F.xxhash64("j", "tok"), 20).alias("h"), F.xxhash64("leaf", "j", "tok").alias("k"))
-    keys = cut(counts.select(F.xxhash64("leaf", "j", "tok").alias("k")))
+        lines = text.mapInArrow(_tokens(None), _FIELDS).join(leaves, "leaf", "left_semi")
+    # A line is a row with its tokens' numbers, once; what is counted are sums a batch, not a row a token.
+    lines = cut(lines.dropDuplicates(["leaf", "th"]))
+    counts = lines.select("ks").mapInArrow(_counted, "k long, kinds long").groupBy("k").agg(F.sum("kinds").alias("kinds"))
+    keys = cut(counts.filter(F.col("kinds") >= few).select("k"))
     if keys.count() <= MANY:
-        constant = keyed.mapInArrow(_among(sc.broadcast(np.sort(_unsigned(keys).view(np.int64)))), keyed.schema)
+        shapes = lines.mapInArrow(_shaped(sc.broadcast(np.sort(_unsigned(keys).view(np.int64)))), "leaf long, th long, shape long")
     else:
-        constant = keyed.join(keys, "k", "left_semi")
-    shapes = constant.groupBy("leaf", "th", "n").agg(F.sum("h").alias("shape"), F.count(F.lit(1)).alias("fixed")).filter(F.col("fixed") >= LIKE * F.col("n"))
+        constant = lines.select("leaf", "th", F.size("ks").alias("n"), F.explode("ks").alias("k")).join(keys, "k", "left_semi")
+        shapes = constant.groupBy("leaf", "th", "n").agg(F.sum(F.shiftright("k", 20)).alias("shape"), F.count(F.lit(1)).alias("fixed")).filter(F.col("fixed") >= LIKE * F.col("n"))
     voices = shapes.join(said, ["leaf", "th"]).select("leaf", "shape", "voice").distinct()
     often = voices.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("voices")).filter(F.col("voices") >= few)
     return shapes.join(often, ["leaf", "shape"], "left_semi").select("th")
 
 
-def _among(shared):
-    """The rows whose last column, a number, is one of the shared ones, which ascend."""
-
-    def rows(batches):
-        for batch in batches:
-            k = batch.column(batch.num_columns - 1).to_numpy()
-            at = np.minimum(np.searchsorted(shared.value, k), max(0, len(shared.value) - 1))
-            yield batch.filter(pa.array(shared.value[at] == k if len(shared.value) else np.zeros(len(k), bool)))
-
-    return rows
-
-
 def _unsigned(leaves: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in leaves.collect()], np.int64).view(np.uint64)
 
